@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, mixing, packing, quality, secrets, sql
+from . import gif, mixing, neighbours, packing, quality, secrets, sql
 from .common import table
 
 #: Where the public tokenizers' vocabulary files are.
@@ -43,8 +43,12 @@ def op9_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op4_best_fit_packing, op6_secret_scan, op9_gif_columns)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op4_best_fit_packing, op6_secret_scan, op9_gif_columns, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
