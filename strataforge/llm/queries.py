@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, mixing, neighbours, packing, quality, secrets, sql
+from . import gif, mixing, neardup, neighbours, packing, quality, secrets, sql
 from .common import table
 
 #: Where the public tokenizers' vocabulary files are.
@@ -23,6 +23,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", with_ids=False)
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
@@ -48,7 +52,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op4_best_fit_packing, op6_secret_scan, op9_gif_columns, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op3_minhash_near_dedup, op4_best_fit_packing, op6_secret_scan, op9_gif_columns, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
