@@ -5,16 +5,24 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, mixing, neardup, neighbours, packing, quality, secrets, sql
+from . import gif, mixing, neardup, neighbours, packing, pii, quality, secrets, sql
 from .common import table
 
 #: Where the public tokenizers' vocabulary files are.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
+def span_text(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def count_of(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,14 +43,18 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "guess")
-    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
-        "doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
-        F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.round(F.array_min(F.transform("spans", lambda s: s["cost"])), 6).alias("least_guesses_log10"),
+        "doc_id", *[count_of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), F.round(F.array_min(F.transform("spans", lambda s: s["cost"])), 6).alias("least_guesses_log10"),
     )
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS))
+    return found.select("doc_id", *[count_of(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op9_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(table(spark, sf_dir, "documents"))
 
@@ -52,7 +64,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op3_minhash_near_dedup, op4_best_fit_packing, op6_secret_scan, op9_gif_columns, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op3_minhash_near_dedup, op4_best_fit_packing, op6_secret_scan, op7_personal_data, op9_gif_columns, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
