@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, mixing, neardup, neighbours, packing, pii, quality, secrets, sql
+from . import ctw, gif, mixing, neardup, neighbours, packing, pii, quality, secrets, sql
 from .common import table
 
 #: Where the public tokenizers' vocabulary files are.
@@ -55,6 +55,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count_of(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op8_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op3_minhash_near_dedup, op4_best_fit_packing, op6_secret_scan, op7_personal_data, op9_gif_columns, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op3_minhash_near_dedup, op4_best_fit_packing, op6_secret_scan, op7_personal_data, op8_context_tree_scores, op9_gif_columns, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
