@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, gif, mixing, neardup, neighbours, packing, pii, quality, secrets, sql
+from . import ctw, gif, mixing, neardup, neighbours, packing, pii, quality, repeats, secrets, sql
 from .common import table
 
 #: Where the public tokenizers' vocabulary files are.
@@ -40,6 +40,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "guess")
@@ -68,7 +72,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op3_minhash_near_dedup, op4_best_fit_packing, op6_secret_scan, op7_personal_data, op8_context_tree_scores, op9_gif_columns, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op3_minhash_near_dedup, op4_best_fit_packing, op5_suffix_array_dedup, op6_secret_scan, op7_personal_data, op8_context_tree_scores, op9_gif_columns, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
