@@ -3,10 +3,11 @@
 Equal shingle sets are one class and only its representative goes on. A sketch keeps, for each of 128 buckets, the
 leading zeros and ten mantissa bits of the bucket's least hash. Bands of four registers make buckets of candidates:
 
-1. every member of a bucket meets the bucket's smallest id; pairs whose collision-corrected estimate may reach the
+1. every document meets the smallest id of all its buckets; pairs whose collision-corrected estimate may reach the
    threshold are confirmed on their full sets, and confirmed pairs give components;
-2. only members of different components in one bucket are left to compare. Their registers, not pairs, travel; large
-   buckets are dealt out in blocks; survivors are confirmed and join the components.
+2. every member of a bucket meets the bucket's smallest id, where the two are in different components;
+3. only members of different components in one bucket are left to compare. Their registers, not pairs, travel; large
+   buckets are dealt out in blocks; a pair comes out of the first bucket that it shares, once; survivors are confirmed.
 
 So a group of thousands of copies costs one comparison for each member, and no link between different texts is lost
 but by all 32 bands missing it (about 1e-10 at the threshold of 0.85).
@@ -66,14 +67,14 @@ def may_link(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, per
     return fits & ((share - c) / (1 - c) >= t - 6 * np.sqrt(t * (1 - t) / n))
 
 
-def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for each band that isn't all empty."""
+def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, band, key) for each band that isn't all empty."""
     grouped = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(regs), BANDS)).copy()
     for i in range(ROWS):
         key = mix(key * np.uint64(0xD6E8FEB86659FD93) + grouped[:, :, i])
     row, band = np.nonzero((grouped != np.uint64(EMPTY)).any(axis=2))
-    return row, key[row, band].view(np.int64)
+    return row, band, key[row, band].view(np.int64)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -160,14 +161,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
 
 def left_over(bands: DataFrame, reps: DataFrame, comps: DataFrame, percent: int, block: int = 512) -> DataFrame:
     """Pairs of different components in one bucket that may link, but for those with the bucket's smallest id."""
-    placed = bands.join(comps, bands["rep"] == comps["id"], "left").select("h", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = bands.join(comps, bands["rep"] == comps["id"], "left").select("h", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     sizes = placed.groupBy("h").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("rep").alias("hub"))
     mixed = sizes.where("m > 2 and low < high").select("h", "m", "hub")
     open_ = placed.join(mixed, "h").where("rep <> hub")
     blocks = F.ceil(F.col("m") / block).cast("int")
     mine = F.pmod(F.xxhash64("rep", "h"), F.col("blocks").cast("long")).cast("int")
     dealt = open_.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "comp").join(reps, "rep")
+    dealt = dealt.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band", "rep", "comp").join(reps, "rep")
     rows = dealt.repartition(partitions(bands.sparkSession), "h", "i", "j").sortWithinPartitions("h", "i", "j", "rep")
 
     def groups(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,7 +189,7 @@ def left_over(bands: DataFrame, reps: DataFrame, comps: DataFrame, percent: int,
     def survivors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in groups(parts):
             key, regs = part[["h", "i", "j"]].to_numpy(), stacked(part["regs"])
-            comp, mine, rep, n = (part[c].to_numpy() for c in ("comp", "mine", "rep", "n"))
+            comp, mine, rep, n, band = (part[c].to_numpy() for c in ("comp", "mine", "rep", "n", "band"))
             starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
             group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
             crossed = key[:, 1] != key[:, 2]
@@ -199,11 +200,13 @@ def left_over(bands: DataFrame, reps: DataFrame, comps: DataFrame, percent: int,
                 at = np.flatnonzero(same & (comp[d:] != comp[:-d]) & (~crossed[d:] | (mine[d:] != mine[:-d])))
                 for k in range(0, len(at), 65536):
                     p = at[k : k + 65536]
+                    equal = (regs[p] == regs[p + d]).reshape(len(p), BANDS, ROWS).all(axis=2) & (regs[p] != EMPTY).reshape(len(p), BANDS, ROWS).any(axis=2)
+                    p = p[equal.argmax(axis=1) == band[p]]
                     p = p[may_link(regs[p], regs[p + d], n[p], n[p + d], percent)]
                     if len(p):
                         yield pd.DataFrame({"a": np.minimum(rep[p], rep[p + d]), "b": np.maximum(rep[p], rep[p + d])})
 
-    return rows.mapInPandas(survivors, "a long, b long").distinct()
+    return rows.mapInPandas(survivors, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -224,20 +227,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def to_bands(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
-                row, key = band_keys(stacked(part["regs"]))
-                yield pd.DataFrame({"h": key, "rep": part["rep"].to_numpy()[row]})
+                row, band, key = band_keys(stacked(part["regs"]))
+                yield pd.DataFrame({"h": key, "band": band, "rep": part["rep"].to_numpy()[row]})
 
-    bands = stage(reps.mapInPandas(to_bands, "h long, rep long"), "near-bands")
+    bands = stage(reps.mapInPandas(to_bands, "h long, band byte, rep long"), "near-bands")
     hubs = bands.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("h", "hub")
-    first = bands.join(hubs, "h").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = stage(estimated(first, reps, percent), "near-pairs")
-    links = stage(confirmed(tested, docs, id_col, text_col, words, percent), "near-links")
-    comps = components(links, "near-stars")
-    more = left_over(bands, reps, comps, percent).join(tested, ["a", "b"], "left_anti")
-    more = stage(more, "near-more")
-    if not more.isEmpty():
-        links = links.union(stage(confirmed(more, docs, id_col, text_col, words, percent), "near-more-links"))
-        comps = components(links, "near-stars")
+    met = stage(bands.join(hubs, "h").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "near-met")
+    links, comps = None, docs.sparkSession.createDataFrame([], "id long, component long")
+
+    def settle(pairs: DataFrame) -> None:
+        """Confirms pairs and joins what links to the components."""
+        nonlocal links, comps
+        new = stage(pairs, "near-pairs")
+        if not new.isEmpty():
+            new = stage(confirmed(new, docs, id_col, text_col, words, percent), "near-links")
+            links = new if links is None else links.union(new)
+            comps = components(links, "near-stars")
+
+    settle(estimated(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), reps, percent))
+    ca, cb = (comps.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    apart = met.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    settle(estimated(apart.join(met.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti"), reps, percent))
+    settle(left_over(bands, reps, comps, percent))
     where = classes.join(comps, classes["rep"] == comps["id"], "left").select("n", "sig_a", "sig_b", F.coalesce("component", "rep").alias("component_id"))
     out = flat.select("doc_id", "n", "sig_a", "sig_b").join(where, ["n", "sig_a", "sig_b"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
