@@ -1,15 +1,60 @@
-"""The corpus pipeline: quality, near copies, personal data, mixing, packing."""
+"""The corpus pipeline: quality, near copies, personal data, mixing to target weights, packing.
+
+Each stage takes the documents that its predecessor kept, with their columns, and is written before the next one reads
+it. The last stage gives the packed pieces. Null, empty and repeated rows are handled as the operators' docstrings say.
+"""
+
+from __future__ import annotations
+
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from strataforge.llm import mixing, neardup, packing, pii, quality
+from strataforge.llm.common import stage, table
+
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labelled ones among them, does not reject."""
+    return quality.keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return neardup.keep_first(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind's name."""
+    return pii.masked(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often and as far as the mix takes their words."""
+    return mixing.apply_mix(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2,048 tokens with their ids, sequence and offset."""
+    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", near_dedup),
+    ("PII", personal_data),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: A learnt score, registers and a network decide: no SQL. tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataforge.llm.common import stage
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, f in STAGES:
         docs = stage(f(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -156,4 +156,10 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, with_ids: bool = T
     Null and empty texts give a piece of the end id alone. Repeated rows are packed each; an empty table gives an empty
     one; other columns of docs are ignored.
     """
-    return place(stage(token_pieces(docs, path, capacity=capacity, with_ids=with_ids, **options), "pack-tokens"), capacity=capacity)
+    pieces = token_pieces(docs, path, capacity=capacity, with_ids=with_ids, **options)
+    if not with_ids:
+        return place(stage(pieces, "pack-tokens"), capacity=capacity)
+    # Lengths are numbered and placed without the ids, which move once, to their places.
+    pieces = stage(pieces.withColumn("_row", F.monotonically_increasing_id()), "pack-tokens")
+    placed = place(pieces.drop("ids"), capacity=capacity)
+    return placed.join(pieces.select("_row", "ids"), "_row").drop("_row")
