@@ -52,7 +52,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         word_count(docs[text_col]).alias("size"),
         F.md5(F.concat_ws("|", F.lit(seed), docs[id_col].cast("string")).cast("binary")).alias("_key"),
     )
-    chunks = sorted_chunks(rows, ["_src", "_key", "size"], "mix-rows")
+    # Range partitioning looks at its input twice; texts are read once.
+    chunks = sorted_chunks(stage(rows, "mix-sizes"), ["_src", "_key", "size"], "mix-rows")
     sources = source_targets(chunks.groupBy("_src").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     budget = F.floor(F.col("target") + 0.5)
     sources = sources.withColumns({"_epochs": F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as bigint) div source_size")).otherwise(F.lit(0))})
