@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +72,11 @@ def running_sums(chunks: DataFrame, group: str, value: str, out: str) -> DataFra
         .withColumn(out, F.col("_start") + F.col("_inside"))
         .drop("_start", "_inside", "_chunk", "_pos")
     )
+
+
+def slices(part: pd.DataFrame, size: int = 1_000_000) -> Iterator[pd.DataFrame]:
+    """Rows in runs of about size characters of _text, so that memory follows text, not rows."""
+    ends = np.cumsum([len(t) if t else 1 for t in part["_text"]])
+    group = ends // size
+    for g in np.unique(group):
+        yield part.iloc[group == g]

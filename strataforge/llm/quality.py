@@ -24,7 +24,7 @@ _CLASS[ord("a") : ord("z") + 1], _CLASS[ord("A") : ord("Z") + 1], _CLASS[ord("0"
 _CLASS[[9, 10, 11, 12, 13, 32]] = 3
 _CLASS[list(MARKS)] = 4
 _CLASS[128:] = 6
-SYMBOL_END = re.compile(r"[^\w\s.,;:'\"?()-]{1,}(?=\s|$)")
+SYMBOL_END = re.compile(r"(?<![^\w\s.,;:'\"?()-])[^\w\s.,;:'\"?()-]++(?=\s|$)")
 
 
 def statistics(text: str | None) -> list[float]:
