@@ -39,3 +39,13 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+
+
+def merged(comps: DataFrame, links: DataFrame, name: str = "components") -> DataFrame:
+    """comps (id, component) after more links (a, b): only the links between components go round."""
+    ca, cb = (comps.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    between = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    roots = components(between, name)
+    new = roots.select(F.col("id").alias("component"), F.col("component").alias("_to"))
+    old = comps.join(new, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    return stage(old.union(roots.join(comps.select("id"), "id", "left_anti").select("id", "component")), name)

@@ -22,8 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stage
-from .components import components
+from .common import partitions, slices, stage
+from .components import merged
 from .shingles import mix, shingle_sets
 
 BUCKET_BITS, MANTISSA, BANDS = 7, 10, 32
@@ -83,8 +83,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in parts:
-            for at in range(0, len(whole), 1024):
-                part = whole.iloc[at : at + 1024]
+            for part in slices(whole):
                 sets = shingle_sets(part["_text"].tolist(), words)
                 salted = [mix(s + np.uint64(0x632BE59BD9B4E019)) for s in sets]
                 yield pd.DataFrame(
@@ -130,8 +129,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
 
     def to_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in parts:
-            for at in range(0, len(whole), 512):
-                part = whole.iloc[at : at + 512]
+            for part in slices(whole):
                 yield pd.DataFrame({"id": part["id"].values, "s": [s.tobytes() for s in shingle_sets(part["_text"].tolist(), words)]})
 
     sets = stage(texts.mapInPandas(to_sets, "id long, s binary"), "near-sets")
@@ -233,16 +231,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bands = stage(reps.mapInPandas(to_bands, "h long, band byte, rep long"), "near-bands")
     hubs = bands.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("h", "hub")
     met = stage(bands.join(hubs, "h").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "near-met")
-    links, comps = None, docs.sparkSession.createDataFrame([], "id long, component long")
+    comps = docs.sparkSession.createDataFrame([], "id long, component long")
 
     def settle(pairs: DataFrame) -> None:
-        """Confirms pairs and joins what links to the components."""
-        nonlocal links, comps
+        """Confirms pairs and merges the components they link."""
+        nonlocal comps
         new = stage(pairs, "near-pairs")
         if not new.isEmpty():
-            new = stage(confirmed(new, docs, id_col, text_col, words, percent), "near-links")
-            links = new if links is None else links.union(new)
-            comps = components(links, "near-stars")
+            new = confirmed(new, docs, id_col, text_col, words, percent)
+            comps = merged(comps, new)
 
     settle(estimated(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), reps, percent))
     ca, cb = (comps.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")

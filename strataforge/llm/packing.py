@@ -9,6 +9,8 @@ their length (distributed) and join the pattern that holds their number.
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_sums, sorted_chunks, stage
+from .common import running_sums, slices, sorted_chunks, stage
+from .shingles import hash_spans
 
 PIECES = "piece int, start long, length int, ids array<int>, ids_crc32 long"
 
@@ -60,38 +63,109 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, i
     return out
 
 
-_LOADED: dict = {}
+def tokenizer(path: str) -> tuple:
+    """The vocabulary at path, which of its ids end a word, and the words encoded so far: once in each worker process.
 
-
-def tokenizer(path: str):
-    """The vocabulary at path, loaded once in each process."""
-    if path not in _LOADED:
+    A task's functions arrive with globals of their own, so what outlives a task is kept with the interpreter.
+    """
+    kept = sys.modules.setdefault("_strataforge_tokenizers", types.ModuleType("_strataforge_tokenizers")).__dict__
+    if path not in kept:
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
-    return _LOADED[path]
+        model = Tokenizer.from_file(path)
+        vocabulary = model.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        kept[path] = (model, ends, {})
+    return kept[path]
+
+
+#: Stands between words that are encoded together; a word that holds it is encoded alone.
+FENCE = "\ue000"
+_FLAT = np.arange(256, dtype=np.uint8)
+_FLAT[ord("A") : ord("Z") + 1] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord("."), ord(",")]] = True
+
+
+def encode_words(model, ends: np.ndarray, new: list[str]) -> list[bytes]:
+    """Ids (little-endian, 32 bits) of each word, many encoded in one text.
+
+    A word of Latin letters alone gives one run of ids with one word end; others are told apart by the fence's ids.
+    """
+    plain = [w.isalpha() and max(w) < "\u0250" for w in new]
+    out: list[bytes] = [b""] * len(new)
+    for easy in (True, False):
+        rows = [i for i, p in enumerate(plain) if p == easy]
+        for at in range(0, len(rows), 2000):
+            part = rows[at : at + 2000]
+            found = letters(model, ends, [new[i] for i in part]) if easy else fenced(model, [new[i] for i in part])
+            for i, ids in zip(part, found, strict=True):
+                out[i] = ids
+    return out
+
+
+def one_text(model, text: str) -> np.ndarray:
+    return np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
 
+def letters(model, ends: np.ndarray, words: list[str]) -> list[bytes]:
+    ids = one_text(model, " ".join(words))
+    edge = np.flatnonzero(ends[ids]) + 1
+    if len(edge) != len(words):
+        return fenced(model, words)
+    return [ids[a:b].tobytes() for a, b in zip([0, *edge[:-1].tolist()], edge.tolist(), strict=True)]
 
-def encode_texts(texts: list[str], path: str, *, remember: int = 400_000) -> list[np.ndarray]:
-    """Ids of each text. The vocabulary drops white space, so texts are split at it and each word is encoded once.
 
-    remember bounds the memory for words; beyond it the memory starts anew.
+def fenced(model, words: list[str]) -> list[bytes]:
+    if any(FENCE in w for w in words):
+        return [one_text(model, w).tobytes() for w in words]
+    fence = one_text(model, FENCE)
+    ids = one_text(model, f" {FENCE} ".join(words) + f" {FENCE}")
+    here = np.ones(max(0, len(ids) - len(fence) + 1), bool)
+    for i, x in enumerate(fence):
+        here &= ids[i : len(ids) - len(fence) + 1 + i] == x
+    edge = np.flatnonzero(here)
+    return [ids[a:b].tobytes() for a, b in zip([0, *(edge[:-1] + len(fence)).tolist()], edge.tolist(), strict=True)]
+
+
+def encode_texts(texts: list[str], path: str, *, remember: int = 600_000) -> list[np.ndarray]:
+    """Ids of each text.
+
+    The vocabulary lowers case, drops white space and parts a letter from the stop after it, so each different word is
+    encoded once and texts are put together from words, told apart by 64-bit hashes. remember bounds the words kept;
+    beyond it the memory starts anew. Texts that may hold a special token's name are encoded whole.
     """
-    model, known = tokenizer(path)
-    split = [t.split(" ") if "\t" not in t and "\n" not in t and "\r" not in t and "\v" not in t and "\f" not in t else t.replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\v", " ").replace("\f", " ").split(" ") for t in texts]
+    model, ends_word, known = tokenizer(path)
+    raw = [_FLAT[np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)].tobytes() if "<|" not in t else b"" for t in texts]
+    joined = b" ".join(raw) + b" "
+    flat = np.frombuffer(joined, np.uint8)
+    inside = ~_SPACE[flat]
+    before, after = np.append(False, inside[:-1]), np.append(inside[1:], False)
+    cut = _STOP[flat] & np.append(False, _LETTER[flat[:-1]]) & ~after
+    starts = np.flatnonzero(inside & (~before | cut))
+    ends = np.flatnonzero(inside & (~after | np.append(cut[1:], False))) + 1
+    kinds, first, back = np.unique(hash_spans(flat, starts, ends), return_index=True, return_inverse=True)
     if len(known) > remember:
         known.clear()
-    new = list({w for words in split for w in words if w not in known})
-    for i in range(0, len(new), 10_000):
-        part = new[i : i + 10_000]
-        known.update(zip(part, [e.ids for e in model.encode_batch(part, add_special_tokens=False)], strict=True))
-    out = []
-    for words in split:
-        ids: list[int] = []
-        for w in words:
-            ids += known[w]
-        out.append(np.array(ids, "<u4"))
-    return out
+    new = [i for i, h in enumerate(kinds.tolist()) if h not in known]
+    if new:
+        a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
+        words = [joined[x:y].decode("utf-8", "surrogatepass") for x, y in zip(a, b, strict=True)]
+        known.update(zip(kinds[new].tolist(), encode_words(model, ends_word, words), strict=True))
+    stored = [known[h] for h in kinds.tolist()]
+    sizes = np.array([len(x) // 4 for x in stored], np.int64)
+    pool, offset = np.frombuffer(b"".join(stored), "<u4"), np.cumsum(sizes) - sizes
+    n = sizes[back]
+    done = np.cumsum(n)
+    ids = pool[np.repeat(offset[back] - (done - n), n) + np.arange(int(n.sum()))]
+    edges = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw])[:-1]) if len(raw) > 1 else np.zeros(0, np.int64)
+    out = np.split(ids, np.append(0, done)[edges])
+    return [np.array(model.encode(t, add_special_tokens=False).ids, "<u4") if "<|" in t else x for t, x in zip(texts, out, strict=True)]
 
 
 def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -103,8 +177,7 @@ def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for whole in parts:
-            for at in range(0, len(whole), 512):
-                part = whole[at : at + 512]
+            for part in slices(whole, 2_000_000):
                 rows = []
                 for key, ids in zip(part["_id"], encode_texts([t or "" for t in part["_text"]], path), strict=True):
                     ids = np.append(ids, np.array([end_id], "<u4")).astype("<u4")
@@ -114,6 +187,7 @@ def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids", "ids_crc32"])
                 out["doc_id"] = pd.array(out["doc_id"], dtype="Int64") if kind in ("bigint", "int") else out["doc_id"]
                 yield out
+        tokenizer(path)[2].clear()  # the worker lives on
 
     return docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).mapInPandas(work, f"doc_id {kind}, {PIECES}")
 

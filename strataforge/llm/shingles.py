@@ -35,6 +35,15 @@ def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def hash_spans(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each range of bytes, from prefix sums."""
+    up, down = powers_to(len(flat))
+    sums = np.empty(len(flat) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + mix((ends - starts).astype(np.uint64)))
+
+
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased (A-Z) words of all texts: hash, length in bytes, and the text's number, in order."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -43,12 +52,7 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = ~_SPACE[flat]
     edge = np.diff(inside.astype(np.int8), prepend=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = powers_to(len(flat))
-    sums = np.empty(len(flat) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + mix((ends - starts).astype(np.uint64)))
-    return hashes, ends - starts, np.searchsorted(ends_of_text, starts, side="right")
+    return hash_spans(flat, starts, ends), ends - starts, np.searchsorted(ends_of_text, starts, side="right")
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:

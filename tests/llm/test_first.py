@@ -116,6 +116,18 @@ def test_pack(request, name):
     assert len(bins) <= least + 1 + 0.01 * least
 
 
+def test_words_make_the_same_ids():
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(TOKENIZER)
+    rng = np.random.default_rng(0)
+    parts = ["The", "it's", "we'LL.", "a,b", "end.", "x..", "É", "e\u0301", "E\u0301.", "\ue000", "a\ue000b", "12.", "1,2", "...", ",", "İI", "ﬁ", "漢字.", "<|endoftext|>", "<|ENDOFTEXT|>", "<", "|>", "😀,", "\u00a0", "\u200d", "don't,", "'s", "s'", "K", "ſ.", "\u0085", "ΟΔΟΣ", "Σ.", "ǆ", "ßß,", "ªº", "Ab.c", "zeta,."]
+    texts = ["".join(p + rng.choice([" ", "\n", "", "\t "], p=[0.6, 0.2, 0.1, 0.1]) for p in rng.choice(parts, rng.integers(0, 12))) for _ in range(600)] + ["", " ", "word"]
+    for t, ids in zip(texts, packing.encode_texts(texts, TOKENIZER, remember=20), strict=True):
+        assert ids.tolist() == model.encode(t, add_special_tokens=False).ids, t
+    assert [x.tolist() for x in packing.encode_texts(texts, TOKENIZER)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pack_empty(empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from strataforge.llm import neardup, shingles
-from strataforge.llm.components import components
+from strataforge.llm.components import components, merged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -112,6 +112,8 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {k: v for k, v in roots(range(1000), edges).items() if k in linked}
+    first, rest = (spark.createDataFrame(e, "a long, b long") for e in (edges[:150], edges[150:]))
+    assert {r.id: r.component for r in merged(components(first), rest).collect()} == got
 
 
 def test_shingles_agree_with_sets():
