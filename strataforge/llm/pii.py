@@ -201,12 +201,55 @@ class Tagger:
         return out
 
 
+_LABEL = r"[A-Za-z0-9-]++"
+_DOT = r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?|\sdot\s)"
+#: Where plausible() can accept a span: an address around any of its at signs, numbers with three dots, and runs without
+#: letters that hold the eight digits of a phone number.
+AT = re.compile(r"@|\(at\)|\[at\]|(?<=\s)at(?=\s)")
+HOST = re.compile(rf"\s{{0,2}}{_LABEL}(?:{_DOT}{_LABEL})+")
+QUAD = re.compile(r"(?<!\d)\d++(?:(?:\.|\[\.\]|\(\.\))\d++){3,}")
+NUMBERS = re.compile(r"(?<![^A-Za-z])[^A-Za-z0-9]*+[0-9](?:[^A-Za-z0-9]*+[0-9]){7}[^A-Za-z]*+")
+
+
+def regions(text: str) -> list[tuple[int, int]]:
+    """Ranges that cover every span plausible() can accept, the space around it and one more character on either side.
+
+    Where a span starts and ends depends on the tags of its characters and of their neighbours alone, so outside of
+    these ranges no tag can change what is found.
+    """
+    found = []
+    for m in AT.finditer(text):
+        if host := HOST.match(text, m.end()):
+            start = m.start()
+            while start > max(0, m.start() - 2) and text[start - 1].isspace():
+                start -= 1
+            least = max(0, start - 64)
+            while start > least and text[start - 1] in _LOCAL_CHARS:
+                start -= 1
+            found.append((start, host.end()))
+    found += [m.span() for m in QUAD.finditer(text)]
+    if DIGIT.search(text):
+        found += [m.span() for m in NUMBERS.finditer(text)]
+    out = []
+    for a, b in found:
+        while a > 0 and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        out.append((max(0, a - 1), min(len(text), b + 1)))
+    return out
+
+
 def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and codes of the text's overlapping windows that hold a digit or @: spans of these kinds have one."""
+    """Starts and codes of the text's overlapping windows that hold a digit or @ or touch one of its regions."""
     c = codes(text)
     starts = np.arange(0, max(1, len(c) - WINDOW + STRIDE), STRIDE)
+    ends = np.minimum(starts + WINDOW, len(c))
     signs = np.concatenate([[0], np.cumsum((c == 3) | (c == 7))])
-    starts = starts[signs[np.minimum(starts + WINDOW, len(c))] > signs[starts]]
+    wanted = signs[ends] > signs[starts]
+    for a, b in regions(text):
+        wanted |= (starts < b) & (ends > a)
+    starts = starts[wanted]
     padded = np.concatenate([c, np.zeros(WINDOW, np.int64)])
     return starts, padded[starts[:, None] + np.arange(WINDOW)]
 
@@ -246,7 +289,7 @@ def plausible(kind: str, value: str) -> bool:
         return bool(re.fullmatch(r"[A-Za-z0-9._%+-]{2,64}\s?(?:@|\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9-]+(?:(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?|\sdot\s)[A-Za-z0-9-]+)+", value))
     if kind == "ip":
         parts = re.split(r"\.|\[\.\]|\(\.\)", value)
-        return len(parts) == 4 and all(p.isdigit() and int(p[:4]) <= 255 for p in parts)
+        return len(parts) == 4 and all(p.isdecimal() and int(p[:4]) <= 255 for p in parts)
     if kind == "card":
         return 16 <= len(d) <= 19 and luhn(d) and not re.search("[A-Za-z]", value)
     return 8 <= len(d) <= 15 and not re.search(r"[A-Za-z]|\d{9}", value) and len(re.findall(r"\d+", value)) >= 3
@@ -318,7 +361,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
 
 def model_spans(texts: list[str], tagger: Tagger, batch: int = 512) -> list[list[tuple[str, int, int]]]:
     """What the network marks in each text, checked for plausibility."""
-    found = [windows(t) if DIGIT.search(t) or "@" in t else (np.zeros(0, np.int64), np.zeros((0, WINDOW), np.int64)) for t in texts]
+    found = [windows(t) if DIGIT.search(t) or "@" in t or regions(t) else (np.zeros(0, np.int64), np.zeros((0, WINDOW), np.int64)) for t in texts]
     flat = np.concatenate([c for _, c in found]) if found else np.zeros((0, WINDOW), np.int64)
     tags = np.zeros_like(flat)
     for at in range(0, len(flat), batch):

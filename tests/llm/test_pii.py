@@ -93,3 +93,43 @@ def test_frame(odd, empty, documents):
     out = {r.doc_id: r for r in pii.masked(odd, epochs=1).collect()}
     assert out[8].text == "password=hunter2xyz mail <EMAIL> call <PHONE> at <IP> card <CARD>" and out[8].n_chars == len(out[8].text)
     assert out[4].text is None and out[3].text == ""
+
+
+def test_regions_cover_what_is_plausible():
+    rng = np.random.default_rng(4)
+    parts = ["ab", "c", "1", "22", "333", "4444", ".", "@", "(at)", "[at]", " at ", " ", "  ", "(dot)", "[dot]", " dot ", "[.]", "(.)", "-", "+", "漢", "٣"]
+    seen = set()
+    texts = ["a 1.22[.]333(.)4 b", "٣.22.1.1  ab", "1.1.1.1.1.1"] + ["".join(rng.choice(parts, rng.integers(4, 16))) for _ in range(600)]
+    for text in texts:
+        covered = np.zeros(len(text), bool)
+        for a, b in pii.regions(text):
+            covered[a:b] = True
+        for kind in pii.KINDS:
+            for a in range(len(text)):
+                for b in range(a + 3, len(text) + 1):
+                    if pii.plausible(kind, text[a:b]):
+                        seen.add(kind)
+                        assert covered[max(0, a - 1) : b + 1].all(), (kind, text, a, b)
+    assert {"email", "ip", "phone"} <= seen
+
+
+def test_addresses_without_digits():
+    """Windows left out change nothing, and written-out addresses count."""
+    c, y = pii.training_set(["the lord of red and green over there was an old man in the sea " * 20], 1024)
+    tagger = pii.Tagger()
+    tagger.train(c, y, epochs=12)
+    rng = np.random.default_rng(99)
+    hits = asked = 0
+    for _ in range(400):
+        value, kind = pii.rewritten(rng)
+        text = f"Many words and {value} over there, my lord." + " and so they met" * int(rng.integers(0, 12))
+        found = pii.model_spans([text], tagger)[0]
+        starts = np.arange(0, max(1, len(text) - pii.WINDOW + pii.STRIDE), pii.STRIDE)
+        padded = np.concatenate([pii.codes(text), np.zeros(pii.WINDOW, np.int64)])
+        tags = pii.reconcile(len(text), starts, tagger.decode(padded[starts[:, None] + np.arange(pii.WINDOW)]))
+        every = [(k, a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())) for k, a, b in pii.spans_of(tags)]
+        assert found == [s for s in every if s[1] < s[2] and pii.plausible(s[0], text[s[1] : s[2]])]
+        if kind == "email" and not re.search("[0-9@]", value):
+            asked += 1
+            hits += (kind, 15, 15 + len(value)) in found
+    assert asked > 15 and hits > 0
