@@ -1,6 +1,7 @@
-"""Removal of long repeated byte strings, by doubling ranks of positions.
+"""Removal of long repeated byte strings, by ranks of thinned positions.
 
-Ranking every position would move some thirty times the text. Here the positions are thinned first, losing nothing:
+Prefix doubling, which ranks every position, would move some thirty times the text. It is replaced: no pairs of ranks
+are doubled or sorted. The positions are thinned first, losing nothing:
 
 * Anchors. Of the 64-byte strings inside any `length`-byte window, the least by hash (the first among equals) is the
   window's anchor. Equal windows have equal anchors at equal places, so it is enough to rank anchors.
@@ -82,7 +83,10 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     if not found:
         none = np.zeros(0, np.int64)
         return none.astype(U), none, none, none
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    rank, place, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    # An anchor whose windows lie on both sides of a chunk's edge is one anchor.
+    new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    return rank[new], place[new], first[new], last[np.append(new[1:], len(place)) - 1]
 
 
 class Chunked:

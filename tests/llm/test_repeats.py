@@ -69,3 +69,23 @@ def test_long_text_in_chunks(monkeypatch):
     cut = repeats.anchors(raw, 400)
     cover = lambda a: {s: p for _, p, f, l in zip(*a, strict=True) for s in range(f, l + 1)}
     assert cover(whole) == cover(cut) and set(cover(whole)) == set(range(4601))
+
+
+def test_removal_over_chunk_edges(spark, monkeypatch):
+    """Bytes at a chunk's edge that occur once stay."""
+
+    def anchors(raw, length):
+        from strataforge.llm import repeats as there  # the worker's own, unpatched
+
+        old, there.CHUNK = there.CHUNK, 700
+        try:
+            return there.anchors(raw, length)
+        finally:
+            there.CHUNK = old
+
+    monkeypatch.setattr(repeats, "anchors", anchors)
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 101, n).astype(np.uint8).tobytes().decode() for n in (5000, 3000, 6000)]
+    texts += [texts[0][600:1300] + texts[1][:900]]
+    want = compare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 400)
+    assert want[2][1] == 0 and want[0][1] > 0
