@@ -24,7 +24,7 @@ KINDS = ("assign", "access", "hex", "guess")
 
 #: Where a credential's value stands, beyond the base patterns.
 CONTEXT = re.compile(
-    r"""(?ai:(?<![a-z0-9])(?:pwd|pass|pass[ _-]?phrase|pass[ _-]?code|pin|credentials?|auth(?:orization)?|bearer|private[ _-]?key|access[ _-]?key|client[ _-]?secret|signing[ _-]?key|login|passw(?:or)?d|secret|token)(?![a-z0-9]))["']?(?:\x20{0,3}(?::=|=>|[:=])\x20{0,3}|\x20(?:is|was)\x20)["'`]?([^\x00-\x20"'`<>,;]{8,128})"""
+    r"""(?ai:(?<![a-z0-9])(?:pwd|pass|pass[ _-]?phrase|pass[ _-]?code|pin|credentials?|auth(?:orization)?|bearer|private[ _-]?key|access[ _-]?key|client[ _-]?secret|signing[ _-]?key|login|passw(?:or)?d|secret|token)(?![a-z0-9]))["']?(?:\x20{0,3}(?::=|=>|[:=])\x20{0,3}|\x20(?:is|was)\x20)["'`]?([^\x00-\x20"'`<>,;]{8,})"""
 )
 
 # Words that people put into passwords, commonest first.
@@ -47,7 +47,8 @@ def brute(value: str) -> list[float]:
     size = {"d": 10, "l": 26, "u": 26, "o": 33}
     kind = lambda c: "d" if "0" <= c <= "9" else "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else "o"
     hexa = all(c in "0123456789abcdef" for c in value) or all(c in "0123456789ABCDEF" for c in value)
-    return [math.log10(16 if hexa and not value.isdigit() else size[kind(c)]) for c in value]
+    hexa = hexa and not value.isdigit()
+    return [math.log10(16 if hexa else size[kind(c)]) for c in value]
 
 
 def pieces(value: str) -> dict[int, list[tuple[int, float, str]]]:
@@ -110,7 +111,7 @@ def guess_spans(text: str, least: float, taken: list[tuple[str, int, int]]) -> l
         a, b = m.span(1)
         while b > a and text[b - 1] in ".)]}":
             b -= 1
-        if b - a >= 8 and not any(s < b and a < e for _, s, e in taken) and guess_cost(text[a:b]) >= least and not text[a:b].isalpha():
+        if b - a >= 8 and not any(s < b and a < e for _, s, e in taken) and guess_cost(text[a:b]) >= least:
             out.append(("guess", a, b))
     return out
 
@@ -138,7 +139,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 row = []
                 for k, a, b in spans:
                     value = ASSIGN.match(text, a)[2] if k == "assign" else text[a:b]
-                    row.append({"kind": k, "start": a, "end": b, "value": text[a:b], "cost": guess_cost(value[:256])})
+                    row.append({"kind": k, "start": a, "end": b, "value": text[a:b], "cost": guess_cost(value)})
                 column.append(row)
             yield pd.DataFrame({"doc_id": part["_id"], "spans": column})
 

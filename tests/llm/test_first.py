@@ -1,6 +1,7 @@
 """Mixing, quality, packing, secrets and GIF against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -163,6 +164,19 @@ def test_secrets(odd, empty, documents):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_whole_values(spark):
+    """Long values to their end, values of letters alone by their cost, and costs of whole values."""
+    rng = random.Random(8)
+    value = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(700))
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20))
+    texts = [f"auth = {value} end", f"bearer: {letters};", "pin: passwordpassword", f"token={value}"]
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    found = {r.doc_id: [(s["kind"], s["start"], s["end"], s["cost"]) for s in r.spans] for r in rows}
+    cost = pytest.approx(secrets.guess_cost(value))
+    assert found[0] == [("guess", 7, 707, cost)] and found[3] == [("assign", 0, 706, cost)]
+    assert found[1] == [("guess", 8, 28, pytest.approx(secrets.guess_cost(letters)))] and found[2] == []
+
+
 def test_guess_cost():
     assert secrets.guess_cost("") == 0
     weak, strong = ("password123", "qwertyuiop", "aaaaaaaaaaaa", "19991231", "abcabcabcabc", "ChangeMe2020"), ("61cfd3300259e4653f", "Xk9#mPq2vL7w", "Zt7QpW3nRb8K")
