@@ -1,16 +1,18 @@
 """Near-duplicate documents by HyperMinHash registers, banding and exact confirmation.
 
-Equal shingle sets are one class and only its representative goes on. A sketch keeps, for each of 128 buckets, the
-leading zeros and ten mantissa bits of the bucket's least hash. Bands of four registers make buckets of candidates:
+Equal shingle sets are one class, and classes are what is compared. A sketch keeps, for each of 128 buckets, the leading
+zeros and ten mantissa bits of the bucket's least hash. Bands of four registers make buckets of candidates:
 
-1. every document meets the smallest id of all its buckets; pairs whose collision-corrected estimate may reach the
+1. every class meets the smallest class of all its buckets; pairs whose collision-corrected estimate may reach the
    threshold are confirmed on their full sets, and confirmed pairs give components;
-2. every member of a bucket meets the bucket's smallest id, where the two are in different components;
-3. only members of different components in one bucket are left to compare. Their registers, not pairs, travel; large
-   buckets are dealt out in blocks; a pair comes out of the first bucket that it shares, once; survivors are confirmed.
-
-So a group of thousands of copies costs one comparison for each member, and no link between different texts is lost
-but by all 32 bands missing it (about 1e-10 at the threshold of 0.85).
+2. where a bucket still holds several components, its members' registers meet in blocks; each block ties components with
+   some pair that may link into families, by a union-find of its own, and gives at most one row fewer than it has members;
+3. the full sets of a family meet in blocks, are counted against each other there, and again a block gives at most one
+   link fewer than it has members.
+
+So rows follow documents, never pairs, however large a group is and however near the threshold it lies; comparisons in
+excess of that are arithmetic inside a block. No link between different texts is lost but by all 32 bands missing it
+(about 1e-10 at the threshold of 0.85).
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, slices, stage
-from .components import merged
+from .components import components, merged
 from .shingles import mix, shingle_sets
 
 BUCKET_BITS, MANTISSA, BANDS = 7, 10, 32
 BUCKETS, ROWS = 1 << BUCKET_BITS, (1 << BUCKET_BITS) // BANDS
 EMPTY = np.uint16(0xFFFF)
-#: Ids up to this many (16 MB) are broadcast to pick rows; beyond it they are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Keys up to this many (24 bytes each) are broadcast to pick rows; beyond it they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+#: A block holds about so many members, and so many shingles, of either side.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -58,13 +62,18 @@ def collision(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 def may_link(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """False only where sizes rule a link out or the corrected estimate lies six deviations below the threshold."""
-    fits = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-    used = (ra != EMPTY) | (rb != EMPTY)
-    n = np.maximum(used.sum(axis=1), 1)
-    share = ((ra == rb) & used).sum(axis=1) / n
-    c = collision(na, nb)
-    t = percent / 100
-    return fits & ((share - c) / (1 - c) >= t - 6 * np.sqrt(t * (1 - t) / n))
+    out = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+    at = np.flatnonzero(out)
+    ra, rb = ra[at], rb[at]
+    equal, filled = ra == rb, ra != EMPTY
+    n = np.maximum((filled | (rb != EMPTY)).sum(axis=1), 1)
+    share, t = (equal & filled).sum(axis=1) / n, percent / 100
+    least = t - 6 * np.sqrt(t * (1 - t) / n)
+    near = np.flatnonzero(share >= least)  # correcting only lowers a share
+    c = collision(na[at[near]], nb[at[near]])
+    out[:] = False
+    out[at[near[(share[near] - c) / (1 - c) >= least[near]]]] = True
+    return out
 
 
 def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,8 +87,7 @@ def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, n, two 64-bit signatures of the set, and its registers."""
-    kind = dict(docs.dtypes)[id_col]
+    """doc_id, t (the text's hash), n, two 64-bit signatures of the set, and its registers."""
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in parts:
@@ -89,6 +97,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                 yield pd.DataFrame(
                     {
                         "doc_id": part["_id"].values,
+                        "t": part["_t"].values,
                         "n": [len(s) for s in sets],
                         "sig_a": np.array([x.sum(dtype=np.uint64) for x in salted], np.uint64).view(np.int64),
                         "sig_b": np.array([mix(x).sum(dtype=np.uint64) for x in salted], np.uint64).view(np.int64),
@@ -96,16 +105,18 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                     }
                 )
 
-    return docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).mapInPandas(work, f"doc_id {kind}, n long, sig_a long, sig_b long, regs binary")
+    text = docs[text_col]
+    rows = docs.select(docs[id_col].cast("long").alias("_id"), F.xxhash64(text).alias("_t"), text.alias("_text"))
+    return rows.mapInPandas(work, "doc_id long, t long, n long, sig_a long, sig_b long, regs binary")
 
 
 def stacked(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), BUCKETS)
 
 
-def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) that may link, by their registers."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of classes that may link, by their registers."""
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,27 +127,30 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(work, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) that link on their full sets.
-
-    Only texts of pairs are read into sets. A hub's members are dealt out in chunks, each of which gets the hub's set
-    once and then streams the members.
-    """
-    ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("_text"))
-    texts = texts.join(F.broadcast(ids) if few else ids, "id")
+def full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, name: str) -> DataFrame:
+    """(c, s) for classes (c, rep, t): the shingle set of each one's text; only those texts are read into sets."""
+    wanted = wanted.withColumnsRenamed({"rep": "_rep", "t": "_t"})
+    few = wanted.count() <= BROADCAST_IDS
+    texts = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"))
+    texts = texts.join(F.broadcast(wanted) if few else wanted, (F.xxhash64("_text") == F.col("_t")) & F.col("_id").eqNullSafe(F.col("_rep")))
 
-    def to_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in parts:
             for part in slices(whole):
-                yield pd.DataFrame({"id": part["id"].values, "s": [s.tobytes() for s in shingle_sets(part["_text"].tolist(), words)]})
+                yield pd.DataFrame({"c": part["c"].values, "s": [s.tobytes() for s in shingle_sets(part["_text"].tolist(), words)]})
+
+    return stage(texts.select("c", "_text").mapInPandas(work, "c long, s binary"), name)
 
-    sets = stage(texts.mapInPandas(to_sets, "id long, s binary"), "near-sets")
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) that link on their full sets.
+
+    A hub's members are dealt out in chunks, each of which gets the hub's set once and then streams the members.
+    """
     dealt = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(64)))
-    members = dealt.join(sets.withColumnRenamed("id", "b"), "b").select("a", "chunk", F.lit(1).alias("member"), "b", "s")
-    hubs = dealt.select("a", "chunk").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "chunk", F.lit(0).alias("member"), F.col("a").alias("b"), "s")
-    rows = members.union(hubs).repartition(partitions(docs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "member")
+    members = dealt.join(sets.withColumnRenamed("c", "b"), "b").select("a", "chunk", F.lit(1).alias("member"), "b", "s")
+    hubs = dealt.select("a", "chunk").distinct().join(sets.withColumnRenamed("c", "a"), "a").select("a", "chunk", F.lit(0).alias("member"), F.col("a").alias("b"), "s")
+    rows = members.union(hubs).repartition(partitions(pairs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "member")
 
     def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hub = None
@@ -157,104 +171,189 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
     return rows.mapInPandas(check, "a long, b long")
 
 
-def left_over(bands: DataFrame, reps: DataFrame, comps: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Pairs of different components in one bucket that may link, but for those with the bucket's smallest id."""
-    placed = bands.join(comps, bands["rep"] == comps["id"], "left").select("h", "band", "rep", F.coalesce("component", "rep").alias("comp"))
-    sizes = placed.groupBy("h").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("rep").alias("hub"))
-    mixed = sizes.where("m > 2 and low < high").select("h", "m", "hub")
-    open_ = placed.join(mixed, "h").where("rep <> hub")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    mine = F.pmod(F.xxhash64("rep", "h"), F.col("blocks").cast("long")).cast("int")
-    dealt = open_.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band", "rep", "comp").join(reps, "rep")
-    rows = dealt.repartition(partitions(bands.sparkSession), "h", "i", "j").sortWithinPartitions("h", "i", "j", "rep")
-
-    def groups(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Whole groups only: the last one waits for the next batch."""
-        rest = None
-        for part in parts:
-            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
-            if not len(part):
-                continue
-            key = part[["h", "i", "j"]].to_numpy()
-            cut = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
-            rest = part.iloc[cut:]
-            if cut:
-                yield part.iloc[:cut]
-        if rest is not None and len(rest):
-            yield rest
-
-    def survivors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in groups(parts):
-            key, regs = part[["h", "i", "j"]].to_numpy(), stacked(part["regs"])
-            comp, mine, rep, n, band = (part[c].to_numpy() for c in ("comp", "mine", "rep", "n", "band"))
-            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
-            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
-            crossed = key[:, 1] != key[:, 2]
-            for d in range(1, len(part)):
-                same = group[d:] == group[:-d]
-                if not same.any():
-                    break
-                at = np.flatnonzero(same & (comp[d:] != comp[:-d]) & (~crossed[d:] | (mine[d:] != mine[:-d])))
-                for k in range(0, len(at), 65536):
-                    p = at[k : k + 65536]
-                    equal = (regs[p] == regs[p + d]).reshape(len(p), BANDS, ROWS).all(axis=2) & (regs[p] != EMPTY).reshape(len(p), BANDS, ROWS).any(axis=2)
-                    p = p[equal.argmax(axis=1) == band[p]]
-                    p = p[may_link(regs[p], regs[p + d], n[p], n[p + d], percent)]
-                    if len(p):
-                        yield pd.DataFrame({"a": np.minimum(rep[p], rep[p + d]), "b": np.maximum(rep[p], rep[p + d])})
-
-    return rows.mapInPandas(survivors, "a long, b long")
-
+def in_blocks(members: DataFrame, group: str, blocks: str) -> DataFrame:
+    """Each row once for every pair of blocks (i <= j) of its group that its own block, `mine`, is in."""
+    mine = F.pmod(F.xxhash64("c", group), F.col(blocks)).cast("int")
+    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1)))
+    return dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", blocks)
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least id linked, itself included), kept (doc_id = component_id).
 
-    Texts link where 100 * shared shingles >= percent * all shingles of the two. A text with fewer words is one shingle;
-    null, empty and blank texts have none and link with nothing. Rows that share an id are one node when they link.
-    Rows without an id take the component of an equal set that has one, else null, and are kept only in the latter
-    case. An empty table gives an empty one; other columns are ignored.
-    """
-    flat = stage(sketches(docs, id_col, text_col, words), "near-sketches").withColumn("doc_id", F.col("doc_id").cast("long"))
-    by_set = flat.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"))
-    classes = stage(by_set, "near-classes")
-    # An id that stands on several rows may represent several sets; its rows then are one node, and any of its sets may link it.
-    reps = classes.where("rep is not null").groupBy("rep").agg(F.max_by(F.struct("n", "regs"), "n").alias("x")).select("rep", "x.n", "x.regs")
-    reps = stage(reps, "near-reps")
+def whole_groups(parts: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of sorted batches, cut only between groups: the last group waits for the next batch."""
+    kept: list[pd.DataFrame] = []
+    last = None
+    for part in parts:
+        if len(part):
+            key = part[keys].to_numpy()
+            cut = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
+            if kept and (cut or (key[-1] != last).any()) or cut:
+                yield pd.concat([*kept, part.iloc[:cut]], ignore_index=True)
+                kept = []
+            kept.append(part.iloc[cut:])
+            last = key[-1]
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
+class Forest:
+    """A union-find over 0 … n - 1 whose labels can be read all at once."""
+
+    def __init__(self, labels: np.ndarray):
+        self.label = np.unique(labels, return_inverse=True)[1] if len(labels) else labels
+        self.links: list[tuple[int, int]] = []
+
+    def tie(self, a: int, b: int) -> None:
+        x, y = self.label[a], self.label[b]
+        if x != y:
+            self.label[self.label == y] = x
+            self.links.append((a, b))
+
+
+def families(placed: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """From placed (h, c, comp): the rows of buckets with several components, and ties (a, b) of components with a pair that may link."""
+    spark = placed.sparkSession
+    sizes = placed.groupBy("h").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    mixed = sizes.where("low < high").select("h", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    open_ = stage(placed.join(mixed, "h"), "near-open")
+    dealt = in_blocks(open_, "h", "blocks").join(classes.select("c", "n", "regs"), "c")
+    rows = dealt.repartition(partitions(spark), "h", "i", "j").sortWithinPartitions("h", "i", "j", "c")
+
+    def ties(part: pd.DataFrame) -> pd.DataFrame:
+        comp, n, mine, regs = part["comp"].to_numpy(), part["n"].to_numpy(), part["mine"].to_numpy(), stacked(part["regs"])
+        crossed, forest = part["i"].iloc[0] != part["j"].iloc[0], Forest(comp)
+        for d in range(1, len(part)):
+            if (forest.label == forest.label[0]).all():
+                break
+            at = np.flatnonzero((forest.label[d:] != forest.label[:-d]) & ((mine[d:] != mine[:-d]) if crossed else True))
+            for p in (at[may_link(regs[at], regs[at + d], n[at], n[at + d], percent)] if len(at) else at).tolist():
+                forest.tie(p, p + d)
+        links = np.array(forest.links, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": comp[links[:, 0]], "b": comp[links[:, 1]]})
+
+    return open_, rows.mapInPandas(by_group(ties, ["h", "i", "j"]), "a long, b long")
+
+
+def by_group(work, keys: list[str]):
+    """Calls work for each group of sorted rows; small results travel together."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(parts, keys):
+            key = part[keys].to_numpy()
+            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+            made = [work(part.iloc[a:b]) for a, b in zip(starts, np.append(starts[1:], len(key)), strict=True)]
+            yield pd.concat(made, ignore_index=True)
+
+    return run
+
+
+def linked(part: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) that join components of one block, counted on full sets; at most one fewer than there are members."""
+    c, mine, sets = part["c"].to_numpy(), part["mine"].to_numpy(), [np.frombuffer(s, np.uint64) for s in part["s"]]
+    crossed, forest = part["i"].iloc[0] != part["j"].iloc[0], Forest(part["comp"].to_numpy())
+    n = np.array([len(s) for s in sets])
+    theirs = np.flatnonzero(mine == mine.max()) if crossed else np.arange(len(c))
+    ours = np.flatnonzero(mine != mine.max()) if crossed else theirs
+    if len(ours) and len(theirs):
+        word = np.concatenate([sets[k] for k in theirs])
+        order = np.argsort(word, kind="stable")
+        word, owner = word[order], np.repeat(theirs, n[theirs])[order]
+        for k in ours.tolist():
+            fits = (forest.label != forest.label[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+            if not fits[theirs if crossed else theirs[k + 1 :]].any():
+                continue
+            first, last = np.searchsorted(word, sets[k], "left"), np.searchsorted(word, sets[k], "right")
+            run = last - first
+            at = np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run) + np.repeat(first, run)
+            shared = np.bincount(owner[at], minlength=len(c))
+            for other in np.flatnonzero(fits & (100 * shared >= percent * (n + n[k] - shared))).tolist():
+                forest.tie(k, other)
+    links = np.array(forest.links, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": c[links[:, 0]], "b": c[links[:, 1]]})
+
+
+def with_components(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """Per row: doc_id, t, n, component_id."""
+    spark = docs.sparkSession
+    flat = stage(sketches(docs, id_col, text_col, words), "near-sketches")
+    by_set = flat.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("x"), F.first("regs").alias("regs"))
+    # A class is one shingle set; its number holds from here on because the rows are written.
+    classes = stage(by_set.select(F.monotonically_increasing_id().alias("c"), "n", "sig_a", "sig_b", F.col("x.doc_id").alias("rep"), F.col("x.t").alias("t"), "regs"), "near-classes")
 
     def to_bands(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
-                row, band, key = band_keys(stacked(part["regs"]))
-                yield pd.DataFrame({"h": key, "band": band, "rep": part["rep"].to_numpy()[row]})
+                row, _, key = band_keys(stacked(part["regs"]))
+                yield pd.DataFrame({"h": key, "c": part["c"].to_numpy()[row]})
 
-    bands = stage(reps.mapInPandas(to_bands, "h long, band byte, rep long"), "near-bands")
-    hubs = bands.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("h", "hub")
-    met = stage(bands.join(hubs, "h").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "near-met")
-    comps = docs.sparkSession.createDataFrame([], "id long, component long")
+    bands = stage(classes.select("c", "regs").mapInPandas(to_bands, "h long, c long"), "near-bands")
+    comps = spark.createDataFrame([], "id long, component long")
 
-    def settle(pairs: DataFrame) -> None:
-        """Confirms pairs and merges the components they link."""
+    def settle(links: DataFrame) -> None:
+        """Merges the components that links tie."""
         nonlocal comps
-        new = stage(pairs, "near-pairs")
+        new = stage(links, "near-links")
         if not new.isEmpty():
-            new = confirmed(new, docs, id_col, text_col, words, percent)
             comps = merged(comps, new)
 
-    settle(estimated(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), reps, percent))
-    ca, cb = (comps.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    apart = met.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    settle(estimated(apart.join(met.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti"), reps, percent))
-    settle(left_over(bands, reps, comps, percent))
-    where = classes.join(comps, classes["rep"] == comps["id"], "left").select("n", "sig_a", "sig_b", F.coalesce("component", "rep").alias("component_id"))
-    out = flat.select("doc_id", "n", "sig_a", "sig_b").join(where, ["n", "sig_a", "sig_b"], "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """Rows of docs, all columns: one document of each component. Of rows that share a kept id one stays for each different text."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    both = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    row = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    return both.withColumn("_row", row).where("_row = 1").select(*docs.columns)
+    # Rows that share an id are one node, whatever their sets are.
+    repeated = stage(flat.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("sig_a").alias("low"), F.max("sig_a").alias("high")).where("low < high").select("doc_id"), "near-repeated")
+    if not repeated.isEmpty():
+        of_id = flat.where("n > 0").join(repeated, "doc_id").join(classes.select("c", "n", "sig_a", "sig_b"), ["n", "sig_a", "sig_b"]).select("doc_id", "c")
+        settle(of_id.join(of_id.groupBy("doc_id").agg(F.min("c").alias("a")), "doc_id").select("a", F.col("c").alias("b")).where("a <> b").distinct())
+
+    hubs = bands.groupBy("h").agg(F.min("c").alias("hub"), F.count("*").alias("m")).where("m > 1").select("h", "hub")
+    shared = stage(bands.join(hubs, "h"), "near-shared")
+    met = shared.where("c <> hub").groupBy(F.col("c").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
+    pairs = stage(estimated(met, classes, percent), "near-pairs")
+    keys = classes.select("c", "rep", "t")
+    if not pairs.isEmpty():
+        ends = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+        settle(confirmed(pairs, full_sets(stage(keys.join(ends, "c", "left_semi"), "near-ids"), docs, id_col, text_col, words, "near-sets"), percent))
+    placed = shared.join(comps, shared["c"] == comps["id"], "left").select("h", "c", F.coalesce("component", "c").alias("comp"))
+    open_, ties = families(placed, classes, percent)
+    ties = stage(ties, "near-ties")
+    if not ties.isEmpty():
+        family = components(ties, "near-families").withColumnsRenamed({"id": "comp", "component": "family"})
+        members = stage(open_.select("c", "comp").distinct().join(family, "comp").join(classes.select("c", "n", "rep", "t"), "c"), "near-members")
+        sets = full_sets(members.select("c", "rep", "t"), docs, id_col, text_col, words, "near-family-sets")
+        size = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+        dealt = in_blocks(members.select("family", "comp", "c").join(size, "family"), "family", "blocks").join(sets, "c")
+        rows = dealt.repartition(partitions(spark), "family", "i", "j").sortWithinPartitions("family", "i", "j", "c")
+        settle(rows.mapInPandas(by_group(lambda part: linked(part, percent), ["family", "i", "j"]), "a long, b long"))
+    where = classes.join(comps, classes["c"] == comps["id"], "left").select("n", "sig_a", "sig_b", "rep", F.coalesce("component", "c").alias("comp"))
+    where = where.join(where.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("n", "sig_a", "sig_b", "component_id")
+    out = flat.select("doc_id", "t", "n", "sig_a", "sig_b").join(where, ["n", "sig_a", "sig_b"], "left")
+    return out.select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (least id linked, itself included), kept (doc_id = component_id).
+
+    Texts link where 100 * shared shingles >= percent * all shingles of the two. A text with fewer words is one shingle;
+    null, empty and blank texts have none and link with nothing. Rows that share an id are one node, by any of their
+    texts with words. Rows without an id link like others, have the least id linked, or null, and are kept only in the
+    latter case. An empty table gives an empty one; other columns are ignored.
+    """
+    out = with_components(docs, id_col, text_col, words, percent)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of docs (doc_id, text and others), all columns: one document of each component.
+
+    Null, empty and blank texts stay. Of rows that share a kept id one stays for each different text; rows without an id
+    stay where no row with an id is linked with them, again one for each text. An empty table gives an empty one.
+    """
+    flat = stage(with_components(docs, "doc_id", "text", words, percent), "near-rows")
+    key = (F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))) & (F.xxhash64("text") == F.col("_t"))
+
+    def keys(rows: DataFrame, name: str) -> DataFrame:
+        out = stage(rows.select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t")).distinct(), name)
+        return F.broadcast(out) if out.count() <= BROADCAST_IDS else out
+
+    kept = docs.join(keys(flat.where("not (doc_id <=> component_id)"), "near-dropped"), key, "left_anti")
+    again = keys(flat.groupBy("doc_id", "t").agg(F.count("*").alias("m")).where("m > 1"), "near-again")
+    if again.isEmpty():
+        return kept
+    first = kept.join(again, key, "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))).where("_row = 1")
+    return kept.join(again, key, "left_anti").union(first.select(*docs.columns))

@@ -131,3 +131,64 @@ def test_estimate_is_near():
     ra, rb = neardup.registers(a), neardup.registers(b)
     assert abs((ra == rb).mean() - 3200 / 4000) < 0.12
     assert neardup.collision(np.array([4000]), np.array([4000]))[0] < 1e-3
+
+
+def test_repeated_ids_and_no_ids(spark):
+    """Any text of an id may link it; texts without an id carry links on."""
+    text = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    a, b = text("a", 60), text("b", 60)
+    far = [*(f"b{i}" for i in range(4, 60)), "z0", "z1", "z2"]
+    rows = [(5, text("long", 400)), (5, a), (2, a + " more"), (None, b), (7, b + " q r s t"), (8, " ".join(far)), (1, ""), (1, text("c", 20)), (9, text("c", 20)), (None, text("d", 9))]
+    got = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()]
+    assert {c for i, c, _ in got if i in (2, 5)} == {2} and {c for i, c, _ in got if i == 9} == {1}
+    assert sorted(c or 0 for i, c, _ in got if i is None) == [0, 7] and (8, 7, False) in got and (7, 7, True) in got
+    kept = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((i or 0, t) for i, t in [rows[2], rows[4], rows[6], rows[7], rows[9]])
+
+
+def test_rows_follow_documents(spark, monkeypatch):
+    """A large family just below the threshold makes rows in proportion to its size."""
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(200)]
+    made = []
+    real = neardup.stage
+
+    def counted(df, name):
+        out = real(df, name)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "stage", counted)
+    most = []
+    for size in (250, 1000):
+        rows = []
+        for i in range(size):
+            words = list(base)
+            for k in rng.sample(range(200), 5):
+                words[k] = f"w{rng.randrange(10**6)}"
+            rows.append((i, " ".join(words)))
+        made.clear()
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect()
+        if size == 250:
+            assert {r.doc_id: r.component_id for r in got} == brute(rows, 5, 80)[1]
+        most.append(max(made))
+    assert most[1] <= 33 * 1000 and most[1] <= 5 * most[0]
+
+
+def test_blocks_of_small_size(spark, monkeypatch):
+    """Families and buckets dealt over many blocks give the same components."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    test_borderline_family(spark)
+
+
+def test_whole_groups():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(0, 12, 200))
+    whole = pd.DataFrame({"a": key, "b": key * 2, "x": np.arange(200)})
+    for size in (1, 3, 17, 200):
+        parts = list(neardup.whole_groups(iter([whole.iloc[i : i + size] for i in range(0, 200, size)]), ["a", "b"]))
+        assert (pd.concat(parts)["x"].to_numpy() == whole["x"].to_numpy()).all()
+        assert len({k for p in parts for k in p["a"].unique()}) == sum(p["a"].nunique() for p in parts)
+    assert list(neardup.whole_groups(iter([whole.iloc[:0]]), ["a", "b"])) == []
