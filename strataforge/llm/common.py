@@ -26,11 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows that a Python worker is handed at once while something is staged; texts may be long.
+ROWS_AT_ONCE = 2000
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, key = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), ROWS_AT_ONCE) if int(before) > 0 else ROWS_AT_ONCE))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Deletes what stage() wrote for frames that nothing will read again."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,3 +100,33 @@ def slices(part: pd.DataFrame, size: int = 1_000_000) -> Iterator[pd.DataFrame]:
     group = ends // size
     for g in np.unique(group):
         yield part.iloc[group == g]
+
+
+def whole_groups(parts: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of sorted batches, cut only between groups: the last group waits for the next batch."""
+    kept: list[pd.DataFrame] = []
+    last = None
+    for part in parts:
+        if len(part):
+            key = part[keys].to_numpy()
+            cut = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
+            if kept and (cut or (key[-1] != last).any()) or cut:
+                yield pd.concat([*kept, part.iloc[:cut]], ignore_index=True)
+                kept = []
+            kept.append(part.iloc[cut:])
+            last = key[-1]
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
+def by_group(work, keys: list[str]):
+    """Calls work for each group of sorted rows; small results travel together."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(parts, keys):
+            key = part[keys].to_numpy()
+            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+            made = [work(part.iloc[a:b]) for a, b in zip(starts, np.append(starts[1:], len(key)), strict=True)]
+            yield pd.concat(made, ignore_index=True)
+
+    return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     for _ in range(most_rounds):
-        edges = stage(star(star(edges, True), False), name)
+        last, edges = edges, stage(star(star(edges, True), False), name)
+        unstage(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

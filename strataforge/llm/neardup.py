@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, stage
+from .common import by_group, partitions, slices, stage, unstage
 from .components import components, merged
 from .shingles import mix, shingle_sets
 
@@ -178,23 +178,6 @@ def in_blocks(members: DataFrame, group: str, blocks: str) -> DataFrame:
     return dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", blocks)
 
 
-def whole_groups(parts: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The rows of sorted batches, cut only between groups: the last group waits for the next batch."""
-    kept: list[pd.DataFrame] = []
-    last = None
-    for part in parts:
-        if len(part):
-            key = part[keys].to_numpy()
-            cut = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
-            if kept and (cut or (key[-1] != last).any()) or cut:
-                yield pd.concat([*kept, part.iloc[:cut]], ignore_index=True)
-                kept = []
-            kept.append(part.iloc[cut:])
-            last = key[-1]
-    if kept:
-        yield pd.concat(kept, ignore_index=True)
-
-
 class Forest:
     """A union-find over 0 … n - 1 whose labels can be read all at once."""
 
@@ -233,19 +216,6 @@ def families(placed: DataFrame, classes: DataFrame, percent: int) -> tuple[DataF
     return open_, rows.mapInPandas(by_group(ties, ["h", "i", "j"]), "a long, b long")
 
 
-def by_group(work, keys: list[str]):
-    """Calls work for each group of sorted rows; small results travel together."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in whole_groups(parts, keys):
-            key = part[keys].to_numpy()
-            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
-            made = [work(part.iloc[a:b]) for a, b in zip(starts, np.append(starts[1:], len(key)), strict=True)]
-            yield pd.concat(made, ignore_index=True)
-
-    return run
-
-
 def linked(part: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links (a, b) that join components of one block, counted on full sets; at most one fewer than there are members."""
     c, mine, sets = part["c"].to_numpy(), part["mine"].to_numpy(), [np.frombuffer(s, np.uint64) for s in part["s"]]
@@ -291,9 +261,12 @@ def with_components(docs: DataFrame, id_col: str, text_col: str, words: int, per
     def settle(links: DataFrame) -> None:
         """Merges the components that links tie."""
         nonlocal comps
-        new = stage(links, "near-links")
+        new, old = stage(links, "near-links"), comps
         if not new.isEmpty():
             comps = merged(comps, new)
+            if hasattr(old, "_staged_path"):
+                unstage(old)
+        unstage(new)
 
     # Rows that share an id are one node, whatever their sets are.
     repeated = stage(flat.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("sig_a").alias("low"), F.max("sig_a").alias("high")).where("low < high").select("doc_id"), "near-repeated")
@@ -303,12 +276,16 @@ def with_components(docs: DataFrame, id_col: str, text_col: str, words: int, per
 
     hubs = bands.groupBy("h").agg(F.min("c").alias("hub"), F.count("*").alias("m")).where("m > 1").select("h", "hub")
     shared = stage(bands.join(hubs, "h"), "near-shared")
+    unstage(bands)
     met = shared.where("c <> hub").groupBy(F.col("c").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
     pairs = stage(estimated(met, classes, percent), "near-pairs")
     keys = classes.select("c", "rep", "t")
     if not pairs.isEmpty():
-        ends = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-        settle(confirmed(pairs, full_sets(stage(keys.join(ends, "c", "left_semi"), "near-ids"), docs, id_col, text_col, words, "near-sets"), percent))
+        ends = stage(keys.join(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "c", "left_semi"), "near-ids")
+        sets = full_sets(ends, docs, id_col, text_col, words, "near-sets")
+        settle(confirmed(pairs, sets, percent))
+        unstage(ends, sets)
+    unstage(pairs)
     placed = shared.join(comps, shared["c"] == comps["id"], "left").select("h", "c", F.coalesce("component", "c").alias("comp"))
     open_, ties = families(placed, classes, percent)
     ties = stage(ties, "near-ties")
@@ -320,6 +297,8 @@ def with_components(docs: DataFrame, id_col: str, text_col: str, words: int, per
         dealt = in_blocks(members.select("family", "comp", "c").join(size, "family"), "family", "blocks").join(sets, "c")
         rows = dealt.repartition(partitions(spark), "family", "i", "j").sortWithinPartitions("family", "i", "j", "c")
         settle(rows.mapInPandas(by_group(lambda part: linked(part, percent), ["family", "i", "j"]), "a long, b long"))
+        unstage(members, sets)
+    unstage(shared, open_, ties)
     where = classes.join(comps, classes["c"] == comps["id"], "left").select("n", "sig_a", "sig_b", "rep", F.coalesce("component", "c").alias("comp"))
     where = where.join(where.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("n", "sig_a", "sig_b", "component_id")
     out = flat.select("doc_id", "t", "n", "sig_a", "sig_b").join(where, ["n", "sig_a", "sig_b"], "left")

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from strataforge.llm import neardup, shingles
+from strataforge.llm import common, neardup, shingles
 from strataforge.llm.components import components, merged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -155,6 +155,7 @@ def test_rows_follow_documents(spark, monkeypatch):
 
     def counted(df, name):
         out = real(df, name)
+        assert out._staged_path
         made.append(out.count())
         return out
 
@@ -188,7 +189,7 @@ def test_whole_groups():
     key = np.sort(rng.integers(0, 12, 200))
     whole = pd.DataFrame({"a": key, "b": key * 2, "x": np.arange(200)})
     for size in (1, 3, 17, 200):
-        parts = list(neardup.whole_groups(iter([whole.iloc[i : i + size] for i in range(0, 200, size)]), ["a", "b"]))
+        parts = list(common.whole_groups(iter([whole.iloc[i : i + size] for i in range(0, 200, size)]), ["a", "b"]))
         assert (pd.concat(parts)["x"].to_numpy() == whole["x"].to_numpy()).all()
         assert len({k for p in parts for k in p["a"].unique()}) == sum(p["a"].nunique() for p in parts)
-    assert list(neardup.whole_groups(iter([whole.iloc[:0]]), ["a", "b"])) == []
+    assert list(common.whole_groups(iter([whole.iloc[:0]]), ["a", "b"])) == []
