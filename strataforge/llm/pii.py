@@ -70,21 +70,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 WINDOW, STRIDE = 64, 32
 _MARKS = "@.-+()_%:/=,\"' \n#"
-_ALPHABET = len(_MARKS) + 7
+_ALPHABET = len(_MARKS) + 7 + 26
 _CODE = np.full(128, 4, np.int64)
 for _i, _c in enumerate(_MARKS):
     _CODE[ord(_c)] = 7 + _i
-for _c in range(128):
-    if chr(_c).isdigit():
-        _CODE[_c] = 3
-    elif chr(_c).islower():
-        _CODE[_c] = 1 if chr(_c) > "f" else 6
-    elif chr(_c).isupper():
-        _CODE[_c] = 2
+_CODE[ord("0") : ord("9") + 1], _CODE[ord("A") : ord("Z") + 1] = 3, 2
+_CODE[ord("a") : ord("z") + 1] = 7 + len(_MARKS) + np.arange(26)
 
 
 def codes(text: str) -> np.ndarray:
-    """A class for each character: letters, digits, single marks; 0 pads."""
+    """A class for each character: capitals, digits, other scripts; small letters and some marks alone; 0 pads."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(points < 128, _CODE[np.minimum(points, 127)], 5)
 
@@ -95,79 +90,90 @@ TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 class Tagger:
     """Embedding, two LSTMs, an output layer and CRF transitions."""
 
-    def __init__(self, hidden: int = 20, embed: int = 10, seed: int = 5):
+    def __init__(self, hidden: int = 20, embed: int = 10, seed: int = 5, dtype: type = np.float32):
         rng = np.random.default_rng(seed)
         init = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
         self.hidden = hidden
         self.p = {"E": rng.normal(0, 0.5, (_ALPHABET + 1, embed)), "O": init(2 * hidden, TAGS), "o": np.zeros(TAGS), "T": np.zeros((TAGS, TAGS))}
         for d in "fb":
             self.p |= {f"W{d}": init(embed + hidden, 4 * hidden), f"w{d}": np.concatenate([np.ones(hidden), np.zeros(3 * hidden)])}
-
-    def direction(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        h, (b, t, _) = self.hidden, x.shape
-        state, cell, out, kept = np.zeros((b, h)), np.zeros((b, h)), np.zeros((b, t, h)), []
-        for i in range(t) if d == "f" else range(t - 1, -1, -1):
-            z = np.hstack([x[:, i], state])
-            g = z @ self.p[f"W{d}"] + self.p[f"w{d}"]
-            s = 1 / (1 + np.exp(-np.clip(g[:, : 3 * h], -30, 30)))
-            f, n, o, u = s[:, :h], s[:, h : 2 * h], s[:, 2 * h :], np.tanh(g[:, 3 * h :])
-            before, cell = cell, f * cell + n * u
-            th = np.tanh(cell)
-            state = o * th
-            out[:, i] = state
-            kept.append((i, z, f, n, o, u, before, th))
-        return out, kept
-
-    def back(self, grad: np.ndarray, kept: list, d: str, grads: dict) -> np.ndarray:
-        h, (b, t, _) = self.hidden, grad.shape
-        gx, gs, gc = np.zeros((b, t, self.p["E"].shape[1])), np.zeros((b, h)), np.zeros((b, h))
-        for i, z, f, n, o, u, before, th in reversed(kept):
-            gh = grad[:, i] + gs
-            gc = gc + gh * o * (1 - th**2)
-            gate = np.hstack([gc * before * f * (1 - f), gc * u * n * (1 - n), gh * th * o * (1 - o), gc * n * (1 - u**2)])
-            grads[f"W{d}"] += z.T @ gate
-            grads[f"w{d}"] += gate.sum(axis=0)
-            gz = gate @ self.p[f"W{d}"].T
-            gx[:, i], gs, gc = gz[:, :-h], gz[:, -h:], gc * f
-        return gx
+        self.p = {k: v.astype(dtype) for k, v in self.p.items()}
 
     def emissions(self, c: np.ndarray, keep: bool = False):
+        """Scores of the tags of each character; keep: with all that the gradients need. Both directions run side by side."""
+        h, (n, t) = self.hidden, c.shape
         x = self.p["E"][c]
-        (f, kf), (b, kb) = self.direction(x, "f"), self.direction(x, "b")
-        both = np.concatenate([f, b], axis=2)
-        e = both @ self.p["O"] + self.p["o"]
-        return (e, both, kf, kb) if keep else e
+        x = np.stack([x, x[:, ::-1]])
+        w = np.stack([self.p["Wf"], self.p["Wb"]])
+        e = x.shape[-1]
+        scale = np.repeat([0.5, 1.0], [3 * h, h]).astype(x.dtype)  # a sigmoid is a tanh of half
+        given = (x.reshape(2, n * t, e) @ w[:, :e]).reshape(2, n, t, 4 * h) + np.stack([self.p["wf"], self.p["wb"]])[:, None, None]
+        state, cell, out, kept = *np.zeros((2, 2, n, h), x.dtype), np.zeros((2, n, t, h), x.dtype), []
+        for i in range(t):
+            g = np.tanh((given[:, :, i] + state @ w[:, e:]) * scale)
+            gates = 0.5 + 0.5 * g[..., : 3 * h]
+            f, u = gates[..., :h], g[..., 3 * h :]
+            before, cell = cell, f * cell + gates[..., h : 2 * h] * u
+            th = np.tanh(cell)
+            state = gates[..., 2 * h :] * th
+            out[:, :, i] = state
+            if keep:
+                kept.append((gates, u, before, th))
+        both = np.concatenate([out[0], out[1][:, ::-1]], axis=2)
+        scores = both @ self.p["O"] + self.p["o"]
+        return (scores, both, (x, w, out, kept)) if keep else scores
+
+    def back(self, grad: np.ndarray, memory: tuple, grads: dict) -> np.ndarray:
+        """Adds the gradients of both directions; returns those of the embedded characters."""
+        x, w, out, kept = memory
+        h, (_, n, t, e) = self.hidden, x.shape
+        grad = np.stack([grad[..., :h], grad[..., h:][:, ::-1]])
+        all_, (gs, gc) = np.zeros((2, n, t, 4 * h), x.dtype), np.zeros((2, 2, n, h), x.dtype)
+        back = w[:, e:].transpose(0, 2, 1)
+        for i in range(t - 1, -1, -1):
+            gates, u, before, th = kept[i]
+            f, m, o = gates[..., :h], gates[..., h : 2 * h], gates[..., 2 * h :]
+            gh = grad[:, :, i] + gs
+            gc = gc + gh * o * (1 - th**2)
+            gate = np.concatenate([gc * before, gc * u, gh * th], axis=2) * gates * (1 - gates)
+            gate = np.concatenate([gate, gc * m * (1 - u**2)], axis=2)
+            all_[:, :, i] = gate
+            gs, gc = gate @ back, gc * f
+        flat = all_.reshape(2, n * t, 4 * h)
+        previous = np.concatenate([np.zeros((2, n, 1, h), x.dtype), out[:, :, :-1]], axis=2)
+        gw = np.concatenate([x.reshape(2, n * t, e), previous.reshape(2, n * t, h)], axis=2).transpose(0, 2, 1) @ flat
+        for k, d in enumerate("fb"):
+            grads[f"W{d}"], grads[f"w{d}"] = gw[k], flat[k].sum(axis=0)
+        gx = (flat @ w[:, :e].transpose(0, 2, 1)).reshape(2, n, t, e)
+        return gx[0] + gx[1][:, ::-1]
 
     def step(self, c: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Loss (negative log-likelihood a window) and gradients, by forward and backward sums over tag paths."""
-        e, both, kf, kb = self.emissions(c, True)
+        e, both, memory = self.emissions(c, True)
         n, t, _ = e.shape
         trans, rows = self.p["T"], np.arange(n)
         fw, bw = np.zeros_like(e), np.zeros_like(e)
         fw[:, 0] = e[:, 0]
-        total = lambda x, axis: x.max(axis=axis) + np.log(np.exp(x - x.max(axis=axis, keepdims=True)).sum(axis=axis))
+
+        def total(x: np.ndarray, axis: int) -> np.ndarray:
+            top = x.max(axis=axis, keepdims=True)
+            return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+
         for i in range(1, t):
             fw[:, i] = e[:, i] + total(fw[:, i - 1, :, None] + trans, 1)
         for i in range(t - 2, -1, -1):
             bw[:, i] = total(trans + (e[:, i + 1] + bw[:, i + 1])[:, None, :], 2)
         z = total(fw[:, -1], 1)
         ge = np.exp(fw + bw - z[:, None, None])
-        gt = np.zeros_like(trans)
-        gold = e[rows[:, None], np.arange(t), y].sum(axis=1)
-        for i in range(1, t):
-            pair = np.exp(fw[:, i - 1, :, None] + trans + (e[:, i] + bw[:, i])[:, None, :] - z[:, None, None])
-            gt += pair.sum(axis=0)
-            np.subtract.at(gt, (y[:, i - 1], y[:, i]), 1)
-            gold += trans[y[:, i - 1], y[:, i]]
+        pair = np.exp(fw[:, :-1, :, None] + trans + (e[:, 1:] + bw[:, 1:])[:, :, None, :] - z[:, None, None, None])
+        gt = pair.sum(axis=(0, 1)) - np.bincount((y[:, :-1] * TAGS + y[:, 1:]).ravel(), minlength=TAGS * TAGS).reshape(TAGS, TAGS)
+        gold = e[rows[:, None], np.arange(t), y].sum(axis=1) + trans[y[:, :-1], y[:, 1:]].sum(axis=1)
         ge[rows[:, None], np.arange(t), y] -= 1
-        grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-        grads["T"], grads["O"], grads["o"] = gt, np.einsum("nth,ntk->hk", both, ge), ge.sum(axis=(0, 1))
-        gb = ge @ self.p["O"].T
-        gx = self.back(gb[..., : self.hidden], kf, "f", grads) + self.back(gb[..., self.hidden :], kb, "b", grads)
-        np.add.at(grads["E"], c, gx)
+        grads = {"T": gt, "O": both.reshape(n * t, -1).T @ ge.reshape(n * t, -1), "o": ge.sum(axis=(0, 1)), "E": np.zeros_like(self.p["E"])}
+        np.add.at(grads["E"], c, self.back(ge @ self.p["O"].T, memory, grads))
         return float((z - gold).mean()), {k: v / n for k, v in grads.items()}
 
-    def train(self, c: np.ndarray, y: np.ndarray, *, epochs: int = 14, batch: int = 128, rate: float = 0.02, seed: int = 5) -> list[float]:
+    def train(self, c: np.ndarray, y: np.ndarray, *, epochs: int = 12, batch: int = 128, rate: float = 0.02, seed: int = 5) -> list[float]:
         rng, m, v, k, losses = np.random.default_rng(seed), {}, {}, 0, []
         for _ in range(epochs):
             order, loss = rng.permutation(len(c)), []
@@ -176,7 +182,7 @@ class Tagger:
                 one, grads = self.step(c[pick], y[pick])
                 loss.append(one)
                 k += 1
-                norm = np.sqrt(sum((g**2).sum() for g in grads.values()))
+                norm = float(np.sqrt(sum((g**2).sum() for g in grads.values())))
                 for name, g in grads.items():
                     g = g * min(1, 5 / (norm + 1e-9))
                     m[name] = 0.9 * m.get(name, 0) + 0.1 * g
@@ -295,25 +301,37 @@ def plausible(kind: str, value: str) -> bool:
     return 8 <= len(d) <= 15 and not re.search(r"[A-Za-z]|\d{9}", value) and len(re.findall(r"\d+", value)) >= 3
 
 
+#: Notations of an address: what stands for the at sign and for the dot.
+SIGNS = (("@", "."), (" (at) ", "."), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "."), (" at ", " dot "), (" at ", "."))
+
+
+def address(rng: np.random.Generator, at: str, dot: str) -> str:
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
+    pick = lambda *x: x[rng.integers(len(x))]
+    local = word() + pick("", "", f"{pick('.', '_', '-')}{word()}", str(rng.integers(0, 100)))
+    host = word() + pick("", "", f"-{word()}", f"{dot}{word()}")
+    return f"{local}{at}{host}{dot}{pick('com', 'org', 'net', 'de', 'io', 'edu')}"
+
+
 def rewritten(rng: np.random.Generator) -> tuple[str, str | None]:
-    """A value in some notation, with its kind; None: a number that is no personal data."""
+    """A value in some notation, with its kind; None: a number or phrase that is no personal data."""
     num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9)))
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
     pick = lambda *x: x[rng.integers(len(x))]
-    case = rng.integers(0, 10)
+    case = rng.integers(0, 12)
     if case < 2:
         sep = pick("-", " ", ".")
         return pick(f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}{sep}{num(4)}", f"00{num(2)} {num(3)} {num(3)} {num(4)}", f"{num(3)}{sep}{num(3)}{sep}{num(4)}"), "phone"
-    if case < 4:
-        at, dot = pick(("@", "."), (" (at) ", "."), (" [at] ", " [dot] "), (" at ", " dot "), ("@", "."))
-        return f"{word()}{pick('.', '_', '')}{pick(word(), num(2))}{at}{word()}{dot}{pick('com', 'org', 'net', 'de')}", "email"
-    if case < 5:
-        return pick(".", "[.]").join(str(x) for x in rng.integers(0, 256, 4)), "ip"
     if case < 6:
+        return address(rng, *pick(*SIGNS)), "email"
+    if case < 7:
+        return pick(".", "[.]", "(.)").join(str(x) for x in rng.integers(0, 256, 4)), "ip"
+    if case < 8:
         return pick("", " ", "-", ".", "/").join(num(4) for _ in range(4)), "card"
     return pick(
         num(rng.integers(1, 7)), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}:{num(2)}", f"${num(3)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(2)}",
         f"{num(1)}.{num(1)}", "".join("0123456789abcdef"[c] for c in rng.integers(0, 16, 32)), f"token={num(6)}ab{num(3)}", f"#{num(5)}", f"{num(2)}%", f"{word()}{num(2)}{word()}",
+        f"{word()} at {word()}", f"{word()} at {word()}. {word()}", f"{word()} {pick('of', 'in', 'dot', 'was')} {word()} {word()}", f"{word()} ({word()}) {word()}",
     ), None
 
 
@@ -348,7 +366,7 @@ def training_set(texts: list[str], size: int, seed: int = 3) -> tuple[np.ndarray
     return c, y
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, size: int = 1536, **options) -> Tagger:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, size: int = 3072, **options) -> Tagger:
     """A tagger trained on at most `sample` documents, those with the least hash of their id: from each, 4,000 characters at a place its hash picks."""
     ids = docs.select(docs[id_col].alias("_i")).where("_i is not null").distinct().orderBy(F.xxhash64("_i", F.lit(17)), "_i").limit(sample)
     text = docs[text_col]

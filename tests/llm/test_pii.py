@@ -39,7 +39,7 @@ def test_network():
         found = pii.model_spans([f"Many words and {value} over there, my lord."], tagger)[0]
         if kind is None:
             wrong += bool(found)
-        elif pii.plausible(kind, value) and " at " not in value and "(" not in value[1:] and "[" not in value:
+        elif pii.plausible(kind, value) and not re.search(r"\bat\b", value):  # those are in test_notations
             asked += 1
             hits += (kind, 15, 15 + len(value)) in found
     assert asked > 30 and hits / asked > 0.7 and wrong < 12
@@ -47,7 +47,7 @@ def test_network():
 
 def test_gradients():
     rng = np.random.default_rng(2)
-    tagger = pii.Tagger(hidden=3, embed=2)
+    tagger = pii.Tagger(hidden=3, embed=2, dtype=float)
     c, y = rng.integers(0, 20, (3, 6)), rng.integers(0, pii.TAGS, (3, 6))
     _, grads = tagger.step(c, y)
     for name, at in (("E", (3, 1)), ("Wf", (2, 5)), ("wb", (4,)), ("O", (1, 2)), ("T", (0, 3))):
@@ -113,23 +113,26 @@ def test_regions_cover_what_is_plausible():
     assert {"email", "ip", "phone"} <= seen
 
 
-def test_addresses_without_digits():
-    """Windows left out change nothing, and written-out addresses count."""
-    c, y = pii.training_set(["the lord of red and green over there was an old man in the sea " * 20], 1024)
+def test_notations(documents):
+    """Recall of every notation of an address on its own, in real text; and windows left out change nothing."""
+    texts = [r.text[:4000] for r in documents.where("length(text) > 600").limit(120).collect()]
     tagger = pii.Tagger()
-    tagger.train(c, y, epochs=12)
+    tagger.train(*pii.training_set(texts, 3072))
     rng = np.random.default_rng(99)
-    hits = asked = 0
-    for _ in range(400):
-        value, kind = pii.rewritten(rng)
-        text = f"Many words and {value} over there, my lord." + " and so they met" * int(rng.integers(0, 12))
-        found = pii.model_spans([text], tagger)[0]
-        starts = np.arange(0, max(1, len(text) - pii.WINDOW + pii.STRIDE), pii.STRIDE)
-        padded = np.concatenate([pii.codes(text), np.zeros(pii.WINDOW, np.int64)])
-        tags = pii.reconcile(len(text), starts, tagger.decode(padded[starts[:, None] + np.arange(pii.WINDOW)]))
-        every = [(k, a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())) for k, a, b in pii.spans_of(tags)]
-        assert found == [s for s in every if s[1] < s[2] and pii.plausible(s[0], text[s[1] : s[2]])]
-        if kind == "email" and not re.search("[0-9@]", value):
-            asked += 1
-            hits += (kind, 15, 15 + len(value)) in found
-    assert asked > 15 and hits > 0
+    assert pii.model_spans(["call 1.2.3.² now"], tagger) == [[]]
+    said = [("write to ", "john at host dot com", " please"), ("", "john.smith at example dot com", ""), ("or ask ", "jane_doe at mail dot org", " for it"), ("the ", "anna at uni dot de", " one")]
+    assert sum(("email", len(a), len(a + b)) in pii.model_spans([a + b + c], tagger)[0] for a, b, c in said) >= 2
+    for at, dot in pii.SIGNS:
+        hits = 0
+        for _ in range(40):
+            value, text, cut = pii.address(rng, at, dot), texts[rng.integers(len(texts))], int(rng.integers(0, 200))
+            head = text[:cut].rsplit(" ", 1)[0] + " "
+            whole = f"{head}{value} {text[cut : cut + 150]}"
+            found = pii.model_spans([whole], tagger)[0]
+            starts = np.arange(0, max(1, len(whole) - pii.WINDOW + pii.STRIDE), pii.STRIDE)
+            padded = np.concatenate([pii.codes(whole), np.zeros(pii.WINDOW, np.int64)])
+            tags = pii.reconcile(len(whole), starts, tagger.decode(padded[starts[:, None] + np.arange(pii.WINDOW)]))
+            every = [(k, a + len(whole[a:b]) - len(whole[a:b].lstrip()), a + len(whole[a:b].rstrip())) for k, a, b in pii.spans_of(tags)]
+            assert found == [s for s in every if s[1] < s[2] and pii.plausible(s[0], whole[s[1] : s[2]])]
+            hits += ("email", len(head), len(head) + len(value)) in found
+        assert hits >= 20, (at, dot, hits)
