@@ -2,7 +2,7 @@
 
 Trees are fitted on a bounded sample and index every row. A query walks all trees through one priority queue of
 margins until the leaves it has opened hold enough rows; the rows of those leaves are then scored exactly. Leaves, not
-pairs, travel: each group of a leaf's rows meets the leaf's queries once and returns the best k for each.
+pairs, travel: each group of a leaf's rows meets each block of the leaf's queries once and returns the best k for each.
 """
 
 from __future__ import annotations
@@ -115,6 +115,14 @@ def needed_share(trees: list[Tree], x: np.ndarray, k: int, recall: float, tries:
     return float(np.quantile(ranks, recall)) / len(x) if ranks else float(len(trees))
 
 
+def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products summed component by component, so that equal vectors score equally wherever they stand."""
+    products = np.ascontiguousarray((x * q).T)
+    if products.shape[1] == 1:  # a single column would be summed in another order
+        products = np.repeat(products, 2, axis=1)
+    return np.add.reduce(products, axis=0)[: len(x)]
+
+
 def nearest(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, trees: int = 4, leaf_size: int = 256, sample: int = 20_000, recall: float = 0.95, tries: int = 100, group_rows: int = 4096, seed: int = 11
 ) -> DataFrame:
@@ -166,42 +174,46 @@ def nearest(
 
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for key, vec in zip(part["vec_id"], part["_v"], strict=True):
-                for i, leaf in probe(forest.value, counts_shared.value, np.append(vec, 0.0), enough):
-                    for salt in range(-(-int(counts_shared.value[i][leaf]) // group_rows)):
-                        out.append((i, leaf, salt, key, vec))
-            yield pd.DataFrame(out, columns=["tree", "leaf", "salt", "query_id", "q"])
-
-    queries = rows.where(F.col("vec_id") % every == 0)
-    asked = queries.select("vec_id", "_v").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "vec_id").mapInPandas(ask, f"tree int, leaf int, salt int, query_id long, q {kind}")
-    groups = spark.createDataFrame([(int(i), int(leaf), -(-int(n) // group_rows)) for i, leaf, n in sizes.itertuples(index=False)], "tree int, leaf int, groups int")
-    there = leaves.join(F.broadcast(groups), ["tree", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(seed + 1)), F.col("groups")).cast("int"))
-    there = there.join(rows.select("vec_id", "_v"), "vec_id").select("tree", "leaf", "salt", "vec_id", "_v")
+            out = [(i, leaf, key) for key, vec in zip(part["vec_id"], part["_v"], strict=True) for i, leaf in probe(forest.value, counts_shared.value, np.append(vec, 0.0), enough)]
+            yield pd.DataFrame(out, columns=["tree", "leaf", "query_id"])
+
+    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "_v")
+    asked = queries.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "vec_id").mapInPandas(ask, "tree int, leaf int, query_id long")
+    asked = stage(asked, "ann-asked")
+    # A leaf's rows are dealt into salts and its queries into blocks, group_rows each at most on average; each salt meets each block.
+    sizes = sizes.merge(asked.groupBy("tree", "leaf").agg(F.count("*").alias("q")).toPandas(), on=["tree", "leaf"])
+    groups = spark.createDataFrame([(int(i), int(leaf), -(-int(n) // group_rows), -(-int(q) // group_rows)) for i, leaf, n, q in sizes.itertuples(index=False)], "tree int, leaf int, salts int, blocks int")
+    part_of = lambda key, n: F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    there = leaves.join(F.broadcast(groups), ["tree", "leaf"]).withColumn("salt", part_of("vec_id", "salts")).withColumn("block", each("blocks"))
+    there = there.join(rows.select("vec_id", "_v"), "vec_id").select("tree", "leaf", "salt", "block", "vec_id", "_v")
+    asked = asked.join(F.broadcast(groups), ["tree", "leaf"]).withColumn("block", part_of("query_id", "blocks")).withColumn("salt", each("salts"))
+    asked = asked.join(queries.select(F.col("vec_id").alias("query_id"), F.col("_v").alias("q")), "query_id").select("tree", "leaf", "salt", "block", "query_id", "q")
 
     def best(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         ids, x = left["vec_id"].to_numpy(), np.stack(left["_v"]).astype(float)
+        longest = float(np.sqrt((x * x).sum(axis=1).max()))
         out = []
         for at in range(0, len(right), 256):
             part = right.iloc[at : at + 256]
-            scores = np.stack(part["q"]).astype(float) @ x.T
-            for key, row in zip(part["query_id"], scores, strict=True):
-                row = np.where(ids == key, -np.inf, row)
-                if len(row) > k:
-                    least = np.partition(row, len(row) - k)[len(row) - k]
-                    pick = np.flatnonzero(row >= least - 1e-9 * abs(least))
-                else:
-                    pick = np.arange(len(row))
-                pick = pick[row[pick] > -np.inf]
-                pick = pick[np.lexsort((ids[pick], -row[pick]))]
+            asking = np.stack(part["q"]).astype(float)
+            for key, q, row in zip(part["query_id"], asking, asking @ x.T, strict=True):
+                row[ids == key] = -np.inf
+                # The block's product only picks, with room for its rounding; what is picked is scored in one fixed order.
+                least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                pick = np.flatnonzero((row >= least - 1e-12 * longest * np.linalg.norm(q)) & (row > -np.inf))
+                score = inner(x[pick], q)
+                order = np.lexsort((ids[pick], -score))
+                pick, score = pick[order], score[order]
                 _, first = np.unique(ids[pick], return_index=True)
-                pick = pick[np.sort(first)][:k]
-                out.append(pd.DataFrame({"query_id": key, "vec_id": ids[pick], "score": row[pick]}))
+                first = np.sort(first)[:k]
+                out.append(pd.DataFrame({"query_id": key, "vec_id": ids[pick[first]], "score": score[first]}))
         return pd.concat(out)
 
-    scored = there.groupBy("tree", "leaf", "salt").cogroup(asked.groupBy("tree", "leaf", "salt")).applyInPandas(best, "query_id long, vec_id long, score double")
+    keys = ["tree", "leaf", "salt", "block"]
+    scored = there.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
     once = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

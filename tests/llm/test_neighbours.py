@@ -51,3 +51,28 @@ def test_odd_vectors(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(600)], "vec_id long, embedding array<float>")
     top = neighbours.nearest(same, leaf_size=16, sample=100, group_rows=64).where("query_id = 100").orderBy("rank").collect()
     assert [r.vec_id for r in top] == list(range(20)) and {r.score for r in top} == {5.0}
+
+
+def test_ties_across_leaves(spark):
+    """Equal vectors in different leaves and groups score equally, to the last bit, and the smaller id comes first."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 33))
+    rows = [(i, base[i % 40].tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, every=40, leaf_size=16, group_rows=7, recall=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    x = np.array([v for _, v in rows])
+    for q, found in got.items():
+        scores = neighbours.inner(x, x[q])
+        want = sorted(((i, s) for i, s in enumerate(scores.tolist()) if i != q), key=lambda p: (-p[1], p[0]))[:20]
+        assert found == want
+    assert len(got) == 30
+
+
+def test_inner_is_one_number():
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(500, 77)), rng.normal(size=77)
+    whole = neighbours.inner(x, q)
+    assert all(neighbours.inner(x[i : i + n], q).tolist() == whole[i : i + n].tolist() for i, n in ((0, 1), (3, 2), (10, 17), (499, 1)))
+    assert neighbours.inner(x[:0], q).shape == (0,)
