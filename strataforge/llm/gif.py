@@ -100,7 +100,7 @@ def lzw_decode(stream: bytes, bits: int, size: int) -> bytes:
             codes |= np.where(i < width, flags[starts + i], 0).astype(np.int64) << i
         stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
         stop = int(stops[0]) if len(stops) else len(codes)
-        n = len(words)
+        n, before = len(words), len(out)
         for c in codes[:stop].tolist():
             if c < n:
                 word = words[c]
@@ -113,7 +113,7 @@ def lzw_decode(stream: bytes, bits: int, size: int) -> bytes:
                 words.append(prev + word[:1])
                 n += 1
             prev = word
-        made = sum(map(len, out)) if stop else made
+        made += sum(map(len, out[before:]))
         if stop == len(codes):
             at, seen = int(ends[len(width) - 1]), seen + stop
             continue
@@ -224,10 +224,15 @@ def _frames(data: bytes, render: bool) -> list[Frame]:
 
 
 def histogram(frame: Frame, bins: int = 16) -> np.ndarray:
-    """Samples by the brightness (mean of red, green and blue) of their palette colour."""
-    counts = np.bincount(frame.samples.ravel(), minlength=256)
-    level = frame.palette.astype(np.int64).sum(axis=1) * bins // 766
-    return np.bincount(level, weights=counts, minlength=bins).astype(np.int64)
+    """What a rendered frame shows in its own rectangle: pixels by red, then by green, then by blue, bins each.
+
+    Pixels that nothing has covered yet count nowhere.
+    """
+    shown = frame.canvas[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width].reshape(-1, 4)
+    if not shown[:, 3].all():
+        shown = shown[shown[:, 3] > 0]
+    level = shown[:, :3].astype(np.int64) * bins >> 8
+    return np.concatenate([np.bincount(level[:, i], minlength=bins) for i in range(3)])
 
 
 def frame_table(df: DataFrame, media_col: str, id_col: str) -> DataFrame:
@@ -257,6 +262,8 @@ def payload(text: str | None, unit: int = 576) -> tuple[int, bytes]:
 def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 576, keep_media: bool = False) -> DataFrame:
     """Stores each text as a GIF, reads it back and describes what was read: doc_id and PAYLOAD_SCHEMA (and media).
 
+    feature: the colour histogram of all frames as shown, 16 bins each of red, green and blue, comma-joined.
+
     Null and empty texts store one line of 255. Repeated rows and equal texts give equal values; an empty table an empty one.
     """
     kind = dict(docs.dtypes)[id_col]
@@ -267,10 +274,10 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for key, text in zip(part["_id"], part["_text"], strict=True):
                 n, samples = payload(text, width)
                 media = encode_gif(samples, width)
-                frames = decode_gif(media, render=False)
+                frames = decode_gif(media)
                 back = b"".join(f.samples.tobytes() for f in frames)
-                shades = sum(histogram(f) for f in frames)
-                feature = ",".join(map(str, shades.tolist()))
+                colours = sum(histogram(f) for f in frames)
+                feature = ",".join(map(str, colours.tolist()))
                 row = (key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(frames))
                 rows.append((*row, media) if keep_media else row)
             names = ["doc_id", *(x.split()[0] for x in PAYLOAD_SCHEMA.split(", "))] + ["media"] * keep_media
