@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stage
+from .common import partitions, stage, unstage
 from .shingles import mix, powers_to
 
 GRAM, BLOCK, CHUNK = 64, 42, 1 << 22
@@ -148,8 +148,9 @@ def with_texts(texts: DataFrame, sides: DataFrame, work, schema: str) -> DataFra
     return texts.select("key", "text").join(sides.hint("shuffle_hash"), "key").mapInPandas(run, schema)
 
 
-def shared_ranks(ranks: DataFrame, *keys: str) -> DataFrame:
-    return ranks.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+def shared_ranks(ranks: DataFrame, key: str) -> DataFrame:
+    """The ranks that stand more than once, written: a join with them is dealt anew, so that Spark can split a common rank's rows."""
+    return stage(ranks.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), f"repeat-shared-{key}")
 
 
 def columns(at, *names: str) -> list[np.ndarray]:
@@ -166,13 +167,15 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
                 yield pd.DataFrame({"key": key, "rank": rank.view(np.int64), "place": place, "first": first, "last": last})
 
     found = stage(texts.select("key", "text").mapInPandas(batched(first_ranks), "key long, rank long, place long, first long, last long"), "repeat-anchors")
-    open_ = found.join(shared_ranks(found.select("rank"), "rank"), "rank")
+    shared = shared_ranks(found.select("rank"), "rank")
+    open_ = found.join(shared, "rank")
     sides = open_.groupBy("key").agg(F.collect_list(F.struct("place", "first", "last")).alias("at"))
 
     def second(raw: bytes, at) -> pd.DataFrame:
         return pd.DataFrame(blocks(raw, *columns(at, "place", "first", "last"), length))
 
     rows = stage(with_texts(texts, sides, second, "key long, core long, hull long, lo long, hi long"), "repeat-blocks")
+    unstage(found, shared)
     # One entry for each different hull of a core; a block whose hull leaves the text is an entry of its own.
     entry = F.when(F.col("hull") != 0, F.col("hull")).otherwise(F.xxhash64("key", "lo", F.lit(3)))
     entries = stage(rows.groupBy("core", entry.alias("entry")).agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one")), "repeat-entries")
