@@ -26,21 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-#: Rows that a Python worker is handed at once while something is staged; texts may be long.
+#: Rows that a Python worker is handed at once; texts may be long.
 ROWS_AT_ONCE = 2000
 
 
+def small_batches(df: DataFrame) -> None:
+    """From now on the session hands Python workers ROWS_AT_ONCE rows at most, so that long texts stay within their memory.
+
+    Plans read this setting when they run, and what an operator returns runs later: so it stays set.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if not 0 < now <= ROWS_AT_ONCE:
+        df.sparkSession.conf.set(key, str(ROWS_AT_ONCE))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path, key = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), ROWS_AT_ONCE) if int(before) > 0 else ROWS_AT_ONCE))
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    out = spark.read.schema(df.schema).parquet(path)
+    small_batches(df)
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 

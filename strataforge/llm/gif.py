@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 FULL = 4096
 FRAME_SCHEMA = "frame int, delay_ms int, left int, top int, width int, height int, samples binary, rgba binary, histogram array<long>"
 PAYLOAD_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int"
@@ -266,6 +268,7 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Null and empty texts store one line of 255. Repeated rows and equal texts give equal values; an empty table an empty one.
     """
+    small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

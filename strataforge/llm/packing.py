@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_sums, slices, sorted_chunks, stage
+from .common import running_sums, slices, small_batches, sorted_chunks, stage
 from .shingles import hash_spans
 
 PIECES = "piece int, start long, length int, ids array<int>, ids_crc32 long"
@@ -133,7 +133,7 @@ def fenced(model, words: list[str]) -> list[bytes]:
     return [ids[a:b].tobytes() for a, b in zip([0, *(edge[:-1] + len(fence)).tolist()], edge.tolist(), strict=True)]
 
 
-def encode_texts(texts: list[str], path: str, *, remember: int = 600_000) -> list[np.ndarray]:
+def encode_texts(texts: list[str], path: str, *, remember: int = 300_000) -> list[np.ndarray]:
     """Ids of each text.
 
     The vocabulary lowers case, drops white space and parts a letter from the stop after it, so each different word is
@@ -170,6 +170,7 @@ def encode_texts(texts: list[str], path: str, *, remember: int = 600_000) -> lis
 
 def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """doc_id and PIECES: each document's ids and end_id, cut every capacity tokens. A null text is empty: end_id alone."""
+    small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Spans that only the network found carry these kinds.
@@ -71,17 +71,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 WINDOW, STRIDE = 64, 32
 _MARKS = "@.-+()_%:/=,\"' \n#"
 _ALPHABET = len(_MARKS) + 7 + 26
-_CODE = np.full(128, 4, np.int64)
+_CODE = np.full(128, 4, np.uint8)
 for _i, _c in enumerate(_MARKS):
     _CODE[ord(_c)] = 7 + _i
 _CODE[ord("0") : ord("9") + 1], _CODE[ord("A") : ord("Z") + 1] = 3, 2
-_CODE[ord("a") : ord("z") + 1] = 7 + len(_MARKS) + np.arange(26)
+_CODE[ord("a") : ord("z") + 1] = 7 + len(_MARKS) + np.arange(26, dtype=np.uint8)
 
 
 def codes(text: str) -> np.ndarray:
     """A class for each character: capitals, digits, other scripts; small letters and some marks alone; 0 pads."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < 128, _CODE[np.minimum(points, 127)], 5)
+    return np.where(points < 128, _CODE[np.minimum(points, 127)], np.uint8(5))
 
 
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
@@ -200,7 +200,7 @@ class Tagger:
             all_ = score[:, :, None] + self.p["T"]
             back[:, i] = all_.argmax(axis=1)
             score = all_.max(axis=1) + e[:, i]
-        out = np.zeros((n, t), np.int64)
+        out = np.zeros((n, t), np.int8)
         out[:, -1] = score.argmax(axis=1)
         for i in range(t - 1, 0, -1):
             out[:, i - 1] = back[np.arange(n), i, out[:, i]]
@@ -256,7 +256,7 @@ def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
     for a, b in regions(text):
         wanted |= (starts < b) & (ends > a)
     starts = starts[wanted]
-    padded = np.concatenate([c, np.zeros(WINDOW, np.int64)])
+    padded = np.concatenate([c, np.zeros(WINDOW, np.uint8)])
     return starts, padded[starts[:, None] + np.arange(WINDOW)]
 
 
@@ -379,9 +379,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
 
 def model_spans(texts: list[str], tagger: Tagger, batch: int = 512) -> list[list[tuple[str, int, int]]]:
     """What the network marks in each text, checked for plausibility."""
-    found = [windows(t) if DIGIT.search(t) or "@" in t or regions(t) else (np.zeros(0, np.int64), np.zeros((0, WINDOW), np.int64)) for t in texts]
-    flat = np.concatenate([c for _, c in found]) if found else np.zeros((0, WINDOW), np.int64)
-    tags = np.zeros_like(flat)
+    found = [windows(t) if DIGIT.search(t) or "@" in t or regions(t) else (np.zeros(0, np.int64), np.zeros((0, WINDOW), np.uint8)) for t in texts]
+    flat = np.concatenate([c for _, c in found]) if found else np.zeros((0, WINDOW), np.uint8)
+    tags = np.zeros(flat.shape, np.int8)
     for at in range(0, len(flat), batch):
         tags[at : at + batch] = tagger.decode(flat[at : at + batch])
     out, at = [], 0
@@ -416,6 +416,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Null and empty texts have no spans. Repeated rows give equal rows; null ids are read, never learnt from; an empty
     table gives an empty one; other columns are ignored.
     """
+    small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
     tagger = tagger or fit(docs, id_col=id_col, text_col=text_col, **options)
     shared = docs.sparkSession.sparkContext.broadcast(tagger.p)
@@ -444,16 +445,23 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def masked(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, with personal data in text masked and n_chars, where present, counted anew."""
+    """docs, all columns, with personal data in text masked and n_chars, where present, counted anew.
+
+    Null texts stay null, empty ones empty; repeated rows change alike, rows without an id too; an empty table gives an
+    empty one.
+    """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, **options).p)
 
     def column(text: Column) -> Column:
         @F.pandas_udf("string")
         def work(texts: pd.Series) -> pd.Series:
-            model = Tagger()
+            model, out = Tagger(), []
             model.p = shared.value
-            plain = [t or "" for t in texts]
-            return pd.Series([None if t is None else mask(t, s) for t, s in zip(texts, all_spans(plain, model), strict=True)], dtype=object)
+            for part in slices(texts.to_frame("_text")):
+                plain = [t or "" for t in part["_text"]]
+                out += [None if t is None else mask(t, s) for t, s in zip(part["_text"], all_spans(plain, model), strict=True)]
+            return pd.Series(out, dtype=object)
 
         return work(text)
 

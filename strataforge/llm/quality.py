@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import fold, stage
 
 STATS = ("lower", "upper", "digit", "space", "mark", "symbol", "wide", "log_bytes", "log_words", "word_length", "distinct_words", "upper_words", "top_word", "ends_symbol", "bars", "shouts", "line_length", "distinct_lines", "sentences", "log_longest")
+#: Keys of rejected texts up to this many (8 bytes each) are broadcast; beyond it they are joined by shuffle.
+BROADCAST_KEYS = 2_000_000
 MARKS = b".,;:'\"?-()"
 _CLASS = np.full(256, 5, np.uint8)
 _CLASS[ord("a") : ord("z") + 1], _CLASS[ord("A") : ord("Z") + 1], _CLASS[ord("0") : ord("9") + 1] = 0, 1, 2
@@ -173,8 +175,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, **options) -> DataFrame:
-    """Rows of docs, all columns, whose score is at least `least`; fitted on docs and labels."""
-    stats = stage(docs.select("doc_id", document_stats(docs["text"]).alias("stats")), "quality-stats")
+    """Rows of docs (doc_id, text and others), all columns, whose score is at least `least`; fitted on docs and labels.
+
+    Statistics are computed once for each different text and meet the rows again by the text's hash. Null and empty
+    texts are scored as texts without any character; repeated rows stay or go together; an empty table gives an empty one.
+    """
+    key = F.xxhash64("text", F.length("text"))
+    stats = stage(docs.select("doc_id", key.alias("_key"), document_stats(docs["text"]).alias("stats")), "quality-stats")
     model = fit(stats, labels, **options)
-    kept = docs.withColumn("_score", score_column(model, document_stats(F.col("text"))))
-    return kept.where(F.col("_score") >= least).select(*docs.columns)
+    dropped = stage(stats.where(score_column(model, F.col("stats")) < least).select("_key").distinct(), "quality-dropped")
+    few = dropped.count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(dropped) if few else dropped, key == dropped["_key"], "left_anti")

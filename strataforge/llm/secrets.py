@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 # The three base patterns and the least lengths of their matches.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -126,6 +128,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have no spans. Repeated rows give equal rows; an empty table an empty one; other columns are
     ignored.
     """
+    small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, spans array<struct<kind:string,start:int,end:int,value:string,cost:double>>"
 

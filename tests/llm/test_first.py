@@ -86,6 +86,47 @@ def test_quality_odd(odd, empty, labels):
     assert {r.score for r in quality.score_quality(odd, labels.where("false")).collect()} == {0.5}
 
 
+def test_quality_against_a_dense_solve(spark, documents):
+    """Normal equations, ridge and calibration against numpy on all rows at once."""
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    stats = docs.select("doc_id", quality.document_stats(docs["text"]).alias("stats"))
+    model = quality.fit(stats, marks)
+    truth = {r.doc_id: float(r.quality) for r in marks.where("quality is not null").collect()}
+    rows = [(zlib.crc32(str(r.doc_id).encode()) % 3, quality.statistics(r.text), truth[r.doc_id]) for r in docs.collect() if r.doc_id in truth]
+    x, y, part = (np.array([r[i] for r in rows]) for i in (1, 2, 0))
+    learn = x[part != 1]
+    assert model.mean == pytest.approx(learn.mean(axis=0), rel=1e-5, abs=1e-9) and model.scale == pytest.approx(np.maximum(learn.std(axis=0), 1e-6), rel=1e-4, abs=1e-8)
+    f = model.features(x[part == 0])
+    left, right = f.T @ f, f.T @ y[part == 0]
+    got_left, got_right = quality.normal_equations(stats.join(marks.selectExpr("doc_id", "double(quality) as y"), "doc_id").where("crc32(cast(string(doc_id) as binary)) % 3 = 0"), model)
+    assert (got_left == left).all() and got_right == pytest.approx(right, rel=1e-12)
+    weights = np.linalg.solve(left + (1e-3 * np.trace(left) / len(left) + 1e-9) * np.eye(len(left)), right)
+    assert model.weights == pytest.approx(weights, rel=1e-6, abs=1e-12)
+    raw = model.features(x[part == 2]) @ weights
+    bins = np.clip(np.floor((raw + 0.5) / 2 * 512), 0, 511).astype(int)
+    at = np.unique(bins)
+    n, ones = np.array([(bins == b).sum() for b in at], float), np.array([y[part == 2][bins == b].sum() for b in at])
+    # The best non-decreasing fit by its min-max formula.
+    best = [max(min(ones[i : k + 1].sum() / n[i : k + 1].sum() for k in range(j, len(at))) for i in range(j + 1)) for j in range(len(at))]
+    centres, means = model.knots
+    step = np.unique(np.round(best, 9))
+    assert len(centres) == len(step) and (np.diff(means) > -0.2).all()
+    kernel = lambda a, b: np.exp(-((a - b) ** 2).sum() / len(quality.STATS))
+    rng = np.random.default_rng(0)
+    wide = quality.Model(np.zeros(len(quality.STATS)), np.ones(len(quality.STATS)), rng.normal(0, np.sqrt(2 / len(quality.STATS)), (len(quality.STATS), 20_000)), rng.uniform(0, 2 * np.pi, 20_000))
+    u, v = rng.normal(size=(2, len(quality.STATS)))
+    fu, fv = (wide.features(z[None])[0, 1 + len(quality.STATS) :] / 64 for z in (u, v))
+    assert 2 * (fu @ fv) / 20_000 == pytest.approx(kernel(u, v), abs=0.03)
+
+
+def test_keep_quality(spark, documents, labels, odd):
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    score = {r.doc_id: r.score for r in quality.score_quality(documents, marks).collect()}
+    got = quality.keep_quality(documents, marks)
+    assert got.columns == documents.columns and sorted(r.doc_id for r in got.collect()) == sorted(i for i, s in score.items() if s >= 0.5)
+    assert quality.keep_quality(odd, labels.where("false")).count() == odd.count()
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.arange(5.0), np.array([0, 3, 1, 2, 9.0]), np.full(5, 10.0))
     assert (np.diff(y) >= 0).all() and len(y) < 5
@@ -237,6 +278,29 @@ def test_disposal_transparency_palettes():
     assert lines[0].samples.ravel().tolist() == [0, 3, 2, 3, 1, 3, 2, 3]
 
 
+def test_colours_as_shown():
+    """Red, green and blue are counted apart, after transparency and disposal."""
+    palette = np.array([[255, 0, 0], [0, 255, 0], [0, 0, 128], [10, 20, 30]] + [[0, 0, 0]] * 252, np.uint8)
+    data = gif.encode_gif(bytes([0, 1, 1, 2]), 2, palette=palette)
+    h = gif.histogram(gif.decode_gif(data)[0]).reshape(3, 16)
+    assert (h.sum(axis=1) == 4).all() and (h[0, 15], h[1, 15], h[2, 8], h[2, 0]) == (1, 2, 1, 3)
+    hidden = gif.Frame(0, 0, 2, 1, 0, np.zeros((1, 2), np.uint8), palette, np.array([[[255, 0, 0, 255], [9, 9, 9, 0]]], np.uint8))
+    assert gif.histogram(hidden).sum() == 3
+
+
+def test_long_frames_decode_in_proportion():
+    import time
+
+    took = []
+    for n in (1 << 19, 1 << 21):
+        data = np.random.default_rng(1).integers(0, 256, n).astype(np.uint8).tobytes()
+        stream = gif.lzw_encode(data)
+        start = time.process_time()
+        assert gif.lzw_decode(stream, 8, n) == data
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_gif_broken():
     good = gif.encode_gif(b"\x01" * 576, 576)
     for bad in (b"", b"GIF89a", good[:-4], good[:700]):
@@ -248,12 +312,14 @@ def test_gif_broken():
 def test_gif_columns(request, name):
     docs = request.getfixturevalue(name)
     rows = gif.store_texts(docs, keep_media=True).collect()
+    level = lambda text: np.tile(np.bincount(np.frombuffer(gif.payload(text)[1], np.uint8) // 16, minlength=16), 3)
     texts = defaultdict(list)
     for r in docs.collect():
         texts[r.doc_id].append(r.text)
     for r in rows:
         n, want = gif.payload(texts[r.doc_id][0])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]))
+        assert r.feature == ",".join(map(str, level(texts[r.doc_id][0])))
         assert len(want) % 576 == 0 and r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest()
     assert len(rows) == docs.count()
 
@@ -262,5 +328,5 @@ def test_frames(spark, odd, empty):
     media = gif.store_texts(odd.where("doc_id = 5"), keep_media=True).select("doc_id", "media")
     rows = gif.frame_table(media, "media", "doc_id").orderBy("frame").collect()
     assert b"".join(bytes(r.samples) for r in rows) == gif.payload("x" * 5000 + " " + "word " * 3000)[1]
-    assert all(sum(r.histogram) == r.width * r.height and len(r.rgba) == 4 * r.width * r.height for r in rows)
+    assert all(sum(r.histogram) == 3 * r.width * r.height and len(r.rgba) == 4 * r.width * r.height for r in rows)
     assert gif.store_texts(empty).count() == 0
