@@ -26,8 +26,8 @@ def bits(value: Column, shift: int, width: int) -> Column:
 
 
 def scaled(value: Column, most: int) -> Column:
-    """0..most to 0..255, rounded down; by integer arithmetic."""
-    return F.floor(value * 255 / F.lit(most)).cast("int")
+    """0..most to 0..255, rounded down; in whole numbers."""
+    return ((value * 255 - (value * 255) % most) / most).cast("int")
 
 
 def rgb565(value: Column) -> tuple[Column, Column, Column]:
@@ -79,13 +79,14 @@ def format_bytes(n: Column) -> Column:
 
 
 def inside(path: Column, parent: Column) -> Column:
-    """Containment by whole path components."""
-    clean = lambda c: F.regexp_replace(c, "/+$", "")
-    return (clean(path) == clean(parent)) | F.startswith(path, F.concat(clean(parent), F.lit("/")))
+    """Containment by whole path components, whatever the case."""
+    clean = lambda c: F.lower(F.regexp_replace(c, "/+$", ""))
+    return (clean(path) == clean(parent)) | F.startswith(F.lower(path), F.concat(clean(parent), F.lit("/")))
 
 
 def contains_any(text: Column, terms: list[str]) -> Column:
-    return F.lower(text).rlike("|".join(terms))
+    """Whether the text holds any of the terms, whatever the case; terms are plain text."""
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(x.lower())) for x in terms], F.lit(False))
 
 
 def even_positions(n: Column, most: int) -> Column:

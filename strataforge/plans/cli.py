@@ -30,6 +30,24 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+#: Archives of these families may be absent; all others must be there.
+OPTIONAL = ("picture",)
+
+
+def present(spark: SparkSession, where: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """The archives that are there. SystemExit, with their paths, if required ones are not."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).exists(p)
+
+    absent = [w for w in where if not there(w[2])]
+    if lost := [path for family, _, path in absent if family not in OPTIONAL]:
+        raise SystemExit("these archives are not there:\n" + "\n".join(f"  {p}" for p in lost))
+    return [w for w in where if w not in absent]
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> dict[str, int]:
     """Writes manifest/, images/, audit/ and previews/ under --out; gives their counts. The audit raises once all is written."""
     o = parser().parse_args(args)
@@ -37,12 +55,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
         raise SystemExit("--limit must be 1 or more")
     spark = spark or SparkSession.builder.getOrCreate()
     where = [(a.split("=", 1)[0].split(":")[0], a.split("=", 1)[0].split(":")[1], a.split("=", 1)[1]) for a in o.archive]
+    where = present(spark, where)
     local = "://" not in o.out
     if local:
         safety.validate_output(o.out, [path for *_, path in where])
     mode = "all-raw" if o.full else o.mode
     sources = spark.createDataFrame([(f, label, i) for i, (f, label, _) in enumerate(where)], "family string, source string, source_ord int")
-    rows = extraction.labelled(entries(spark, [path for *_, path in where]), {label: path for _, label, path in where}, spark)
+    rows = extraction.labelled(entries(spark, [path for *_, path in where]), {label: path for _, label, path in where})
     names = spark.read.csv(o.names, header=True, schema="set_id long, name string")
     curated = spark.read.csv(o.curated, header=True, schema="image_id string, category string") if o.curated else spark.createDataFrame([], "image_id string, category string")
     files = None

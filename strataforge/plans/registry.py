@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strataforge.functions import scalars as S
 from strataforge.operators import idioms as I
+from strataforge.plans import binary_queries
 
 BRANDS = {"Brand#11": "heroes/melee", "Brand#22": "heroes/ranged", "Brand#33": "buildings/main", "Brand#44": "icons/misc"}
 NAMED_SIZES = {1: "Stand", 2: "Walk", 3: "Attack", 5: "Die"}
@@ -189,11 +190,11 @@ def prefix_first_match(spark, sf_dir):
 
 
 def flood_fill(spark, sf_dir):
-    """Cells of a 50-wide grid, from the orders, that a path of open cells ties to the border."""
-    cells = t(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0 or o_custkey % 5 < 2").select((F.col("o_orderkey") % 50).alias("x"), F.floor(F.col("o_orderkey") / 50).alias("y")).where("y < 60").distinct()
-    seeds = cells.where("x = 0 or x = 49 or y = 0 or y = 59")
-    steps = spark.createDataFrame([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b], "x long, y long")
-    return I.reach(cells, seeds, ["x", "y"], steps)
+    """Cells of a 50-wide grid, from all orders, that a path of open cells ties to the border."""
+    cells = t(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0 or o_custkey % 5 < 2").select((F.col("o_orderkey") % 50).alias("x"), F.floor(F.col("o_orderkey") / 50).alias("y")).distinct()
+    last = cells.agg(F.max("y").alias("last"))
+    seeds = cells.crossJoin(F.broadcast(last)).where("x = 0 or x = 49 or y = 0 or y = last").select("x", "y")
+    return I.reach(cells, seeds, [])
 
 
 def pixel_count_if(spark, sf_dir):
@@ -228,7 +229,7 @@ _ALL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL}
+    return {f.__name__: f for f in _ALL} | binary_queries.queries()
 
 
 _CATEGORY = "coalesce(CASE p_brand " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BRANDS.items()) + " END, CASE WHEN p_name LIKE 's%' THEN 'sprites/small' WHEN p_name LIKE 'b%' THEN 'sprites/big' END)"
@@ -239,7 +240,7 @@ runs AS (SELECT user_id, event_type, CAST(min(pos) AS BIGINT) AS start, CAST(cou
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return binary_queries.oracle_sql() | {
         "catalog_classify": f"SELECT * FROM (SELECT p_partkey, {_CATEGORY} AS category FROM part) WHERE category IS NOT NULL",
         "catalog_last_wins": "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL",
         "first_seen_dedup": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL",
@@ -275,8 +276,9 @@ def oracle_sql() -> dict[str, str]:
         "union_manifest": "SELECT 'part' AS kind, p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'customer', c_custkey, NULL FROM customer",
         "contains_any": "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'idiot|pathetic|password|license')",
         "prefix_first_match": "SELECT s_suppkey, s_name FROM supplier WHERE starts_with(upper(s_name), 'SUPPLIER#00') ORDER BY s_suppkey LIMIT 1",
-        "flood_fill": """WITH RECURSIVE c AS (SELECT DISTINCT o_orderkey % 50 AS x, o_orderkey // 50 AS y FROM orders WHERE (o_orderkey % 3 <> 0 OR o_custkey % 5 < 2) AND o_orderkey // 50 < 60),
-            r AS (SELECT x, y FROM c WHERE x = 0 OR x = 49 OR y = 0 OR y = 59 UNION SELECT c.x, c.y FROM r JOIN c ON abs(c.x - r.x) <= 1 AND abs(c.y - r.y) <= 1) SELECT x, y FROM r""",
+        "flood_fill": """WITH RECURSIVE c AS (SELECT DISTINCT o_orderkey % 50 AS x, o_orderkey // 50 AS y FROM orders WHERE o_orderkey % 3 <> 0 OR o_custkey % 5 < 2),
+            r AS (SELECT x, y FROM c WHERE x = 0 OR x = 49 OR y = 0 OR y = (SELECT max(y) FROM c)
+                UNION SELECT c.x, c.y FROM (SELECT x + a AS x, y + b AS y FROM r, (VALUES (-1), (0), (1)) AS s(a), (VALUES (-1), (0), (1)) AS q(b)) AS m JOIN c ON c.x = m.x AND c.y = m.y) SELECT x, y FROM r""",
         "pixel_count_if": """SELECT l_returnflag, count(*) FILTER (NOT ((i BETWEEN 247 AND 250) OR (r > 150 AND g < 80 AND b > 150 AND abs(r - b) < 60) OR (g = 0 AND r = b AND r BETWEEN 120 AND 140))) AS opaque
             FROM (SELECT l_returnflag, l_partkey % 256 AS i, l_suppkey % 256 AS r, l_orderkey % 256 AS g, (l_suppkey + l_linenumber) % 256 AS b FROM lineitem) GROUP BY 1""",
         "images_per_category": f"""WITH c AS (SELECT p_partkey, {_CATEGORY} AS category, p_size, p_retailprice FROM part),

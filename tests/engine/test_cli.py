@@ -23,3 +23,6 @@ def test_command_line(spark, tmp_path):
     sizes = {f: [f"{data}/{n}" for n in ns] for f, ns in {"main": ["main.bin"], "picture": ["pict.bin"]}.items()}
     length = {n: (data / n).stat().st_size for n in ("main.bin", "pict.bin")}
     assert cli.estimate(spark, sizes, "relevant-raw") == int(length["main.bin"] * 0.55 + length["pict.bin"] * 0.10)
+    with pytest.raises(SystemExit, match="gone.bin"):
+        cli.main(["--archive", f"main:main={data}/gone.bin", *args[2:]], spark)
+    assert cli.present(spark, [("main", "main", f"{data}/main.bin"), ("picture", "p", f"{data}/gone.bin")]) == [("main", "main", f"{data}/main.bin")]

@@ -39,7 +39,7 @@ def world(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("archives")
     for name, data in files().items():
         (folder / name).write_bytes(data)
-    rows = X.labelled(entries(spark, [f"{folder}/*.bin"]), {"main": "main.bin", "first": "menu1.bin", "second": "menu2.bin", "pict": "pict.bin"}, spark)
+    rows = X.labelled(entries(spark, [f"{folder}/*.bin"]), {"main": "main.bin", "first": "menu1.bin", "second": "menu2.bin", "pict": "pict.bin"})
     sources = spark.createDataFrame([("main", "main", 0), ("interface", "first", 0), ("interface", "second", 1), ("picture", "pict", 0)], "family string, source string, source_ord int")
     names = spark.createDataFrame(NAMES, "set_id long, name string")
     curated = spark.createDataFrame([("MENU", "menus/main")], "image_id string, category string")

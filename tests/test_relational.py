@@ -29,7 +29,7 @@ def plain(rows, order):
     return sorted((tuple(round(v, 6) if isinstance(v, float) and not math.isnan(v) else v for v in (r[i] for i in order)) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", [n for n in registry.queries() if n != "flood_fill"])
+@pytest.mark.parametrize("name", registry.queries())
 def test_query(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     result = duck.execute(registry.oracle_sql()[name])
@@ -42,11 +42,29 @@ def test_query(spark, duck, name):
 def test_reach_stops_at_walls(spark):
     cells = [(x, y) for x in range(7) for y in range(7) if not (x in (1, 5) and 1 <= y <= 5 or y in (1, 5) and 1 <= x <= 5)]
     df = spark.createDataFrame(cells, "x long, y long")
-    steps = spark.createDataFrame([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b], "x long, y long")
-    got = {tuple(r) for r in I.reach(df, df.where("x = 0"), ["x", "y"], steps).collect()}
+    got = {tuple(r) for r in I.reach(df, df.where("x = 0"), []).collect()}
     assert got == {c for c in cells if not (2 <= c[0] <= 4 and 2 <= c[1] <= 4)} and len(got) < len(cells)
 
 
+def test_reach_over_blocks(spark, monkeypatch):
+    """A winding path over many blocks, in two groups of which one has no seed."""
+    import random
+
+    monkeypatch.setattr(I, "BLOCK", 4)
+    rng = random.Random(1)
+    cells = {(g, x - 9, y) for g in "ab" for x in range(30) for y in range(20) if rng.random() < 0.45}
+    df = spark.createDataFrame(sorted(cells), "g string, x long, y long")
+    got = {tuple(r) for r in I.reach(df, df.where("g = 'a' and x = -9"), ["g"]).collect()}
+    todo = [c for c in cells if c[0] == "a" and c[1] == -9]
+    want = set(todo)
+    while todo:
+        g, x, y = todo.pop()
+        new = {(g, x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & cells - want
+        want |= new
+        todo += new
+    assert got == want and len(want) > 20
+
+
 def test_even_positions_and_videos(spark):
     ask = lambda n, k: spark.range(1).select(S.even_positions(F.lit(n), k)).first()[0]
     assert (ask(101, 5), ask(1, 5), ask(0, 5), ask(3, 12)) == ([0, 25, 50, 75, 100], [0], [], [0, 1, 2])
