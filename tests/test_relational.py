@@ -131,3 +131,32 @@ def test_entry_and_names(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_one_key_holds_nearly_all_rows(spark):
+    """Numbering, filling and runs over many chunks of one key, null keys and values and an empty table included."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot"] * 9 + ["cold", None]), i, rng.choice([None, None, None, "a", "b"])) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, t int, v string")
+    by = {k: sorted((t, v) for g, t, v in rows if g == k) for k in ("hot", "cold", None)}
+    want_pos, want_fill, want_next, want_runs = {}, {}, {}, []
+    for k, items in by.items():
+        seen = None
+        for i, (t, v) in enumerate(items):
+            seen = v if v is not None else seen
+            want_pos[t], want_fill[t] = i, seen
+            want_next[t] = items[i + 1][1] or "end" if i + 1 < len(items) else "end"
+            if i and items[i - 1][1] == v:
+                want_runs[-1][3] += 1
+            else:
+                want_runs.append([k, v, i, 1])
+    assert I.chunked(df, ["k"], ["t"]).where("k = 'hot'").select("_chunk").distinct().count() > 2
+    assert {r.t: r.pos for r in I.positions(df, ["k"], ["t"]).collect()} == want_pos
+    assert {r.t: r.o for r in I.forward_fill(df, F.col("v"), ["k"], ["t"], "o").collect()} == want_fill
+    assert {r.t: r.o for r in I.next_value(df, "v", ["k"], ["t"], F.lit("end"), "o").collect()} == want_next
+    assert sorted(([r.k, r.v, r.start, r.n] for r in I.run_encode(df, ["k"], ["t"], "v").collect()), key=repr) == sorted(want_runs, key=repr)
+    assert sorted(r.pos for r in I.positions(df, [], [F.desc("t")]).collect()) == list(range(600))
+    none = df.where("false")
+    assert [f.count() for f in (I.positions(none, ["k"], ["t"]), I.run_encode(none, ["k"], ["t"], "v"), I.next_value(none, "v", ["k"], ["t"], F.lit("end"), "o"))] == [0, 0, 0]
