@@ -6,6 +6,8 @@
 from __future__ import annotations
 
 import argparse
+import os
+import shutil
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--full", action="store_true", help="the same as --mode all-raw")
     p.add_argument("--limit", type=int, help="stop after so many records that give an image; no audit")
     p.add_argument("--out", required=True)
+    p.add_argument("--files", action="store_true", help="also one PNG file for each manifest path, under files/; --out must be a folder that executors share")
     p.add_argument("--yes", action="store_true", help="replace what an earlier run wrote")
     return p
 
@@ -49,7 +52,7 @@ def present(spark: SparkSession, where: list[tuple[str, str, str]]) -> list[tupl
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> dict[str, int]:
-    """Writes manifest/, images/, audit/ and previews/ under --out; gives their counts. The audit raises once all is written."""
+    """Writes manifest/, images/, audit/ and previews/ (and files/ if asked) under --out; gives their counts. The audit raises once all is written."""
     o = parser().parse_args(args)
     if o.limit is not None and o.limit < 1:
         raise SystemExit("--limit must be 1 or more")
@@ -80,6 +83,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
     extraction.write_manifest(done, f"{o.out}/manifest", save)
     extraction.write_images(done, f"{o.out}/images", save)
     extraction.previews(done).write.mode(save).parquet(f"{o.out}/previews")
+    if o.files:
+        if o.yes and os.path.isdir(f"{o.out}/files"):  # what an earlier run wrote; the guard has seen the folder
+            shutil.rmtree(f"{o.out}/files")
+        extraction.write_files(done, f"{o.out}/files")
     counts = {"images": done.count(), "records": done.select(F.slice("row_ord", 1, 3)).distinct().count()}
     if o.limit is None:
         extraction.audit(done, rows, sources).write.mode(save).parquet(f"{o.out}/audit")

@@ -3,7 +3,7 @@
 import pytest
 from test_extraction import NAMES, files
 
-from strataforge.plans import cli
+from strataforge.plans import cli, extraction
 
 
 def test_command_line(spark, tmp_path):
@@ -13,11 +13,22 @@ def test_command_line(spark, tmp_path):
         (data / name).write_bytes(body)
     (tmp_path / "names.csv").write_text("set_id,name\n" + "".join(f"{i},{n}\n" for i, n in NAMES))
     out = tmp_path / "out"
-    args = ["--archive", f"main:main={data}/main.bin", "--archive", f"picture:pict={data}/pict.bin", "--names", str(tmp_path / "names.csv"), "--out", str(out), "--limit", "2"]
+    args = ["--archive", f"main:main={data}/main.bin", "--archive", f"picture:pict={data}/pict.bin", "--names", str(tmp_path / "names.csv"), "--out", str(out), "--files", "--limit", "2"]
     assert cli.main(args, spark) == {"images": 8, "records": 2}
     assert {p.name for p in out.iterdir()} >= {"manifest", "images", "previews", "_STRATAFORGE"}
+    images = {r.png: bytes(r.image) for r in spark.read.parquet(f"{out}/images").collect()}
+    assert {str(p.relative_to(out / "files")): p.read_bytes() for p in (out / "files").rglob("*") if p.is_file()} == images and len(images) == 8
+    (out / "files" / "old.png").write_text("")
+    cli.main([*args, "--yes"], spark)
+    assert {str(p.relative_to(out / "files")) for p in (out / "files").rglob("*") if p.is_file()} == set(images)
+    one = spark.createDataFrame([("../x.png", bytearray(b"1"))], "png string, image binary")
+    with pytest.raises(Exception, match="leaves"):
+        extraction.write_files(one, str(out / "files"))
+    with pytest.raises(ValueError, match="mounted"):
+        extraction.write_files(one, "s3://bucket/files")
+    assert extraction.write_files(one.selectExpr("png", "cast(null as binary) as image"), str(out / "files")) == 0
     with pytest.raises(ValueError):
-        cli.main([*args[:-4], "--out", str(data)], spark)
+        cli.main([*args[:-5], "--out", str(data)], spark)
     with pytest.raises(SystemExit):
         cli.main([*args[:-1], "0"], spark)
     sizes = {f: [f"{data}/{n}" for n in ns] for f, ns in {"main": ["main.bin"], "picture": ["pict.bin"]}.items()}
