@@ -46,6 +46,12 @@ def le_uint(data: Column, offset: Column | int, size: int) -> Column:
     return F.when(F.octet_length(data) >= at + size, reduce(lambda a, b: a + b, [byte(i) for i in range(size)]))
 
 
+def header_words(tile: Column) -> dict[str, Column]:
+    """The fields of a tile's header by name; null where the tile is too short for one."""
+    at = {"height": 2, "width": 4, "w3": 6, "w4": 8, "w5": 10, "w6": 12, "w7": 14}
+    return {name: le_uint(tile, offset, 2) for name, offset in at.items()} | {"palette_id": le_uint(tile, 22, 4)}
+
+
 def is_key_colour(index: Column, r: Column, g: Column, b: Column) -> Column:
     """Colours that stand for see-through or shadow in palettes."""
     ramp = (r > 150) & (g < 80) & (b > 150) & (F.abs(r - b) < 60)
