@@ -9,6 +9,7 @@ their length (distributed) and join the pattern that holds their number.
 
 from __future__ import annotations
 
+import os
 import sys
 import types
 import zlib
@@ -25,6 +26,15 @@ from .shingles import hash_spans
 PIECES = "piece int, start long, length int, ids array<int>, ids_crc32 long"
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer's file is: in the folder TOKENIZERS_DIR if that is set, else where its package says."""
+    if folder := os.environ.get("TOKENIZERS_DIR"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """How many of each length fill the capacity best (longer pieces first among equals), by a bit-set subset sum."""
     mask = (1 << (capacity + 1)) - 1
@@ -174,8 +184,6 @@ def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     kind = dict(docs.dtypes)[id_col]
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for whole in parts:
             for part in slices(whole, 2_000_000):

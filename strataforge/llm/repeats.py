@@ -1,7 +1,7 @@
 """Removal of long repeated byte strings, by ranks of thinned positions.
 
-Prefix doubling, which ranks every position, would move some thirty times the text. It is replaced: no pairs of ranks
-are doubled or sorted. The positions are thinned first, losing nothing:
+Prefix doubling, which ranks every position, was measured: one round moves 34 times the stored text (README). It is
+replaced: no pairs of ranks are doubled or sorted. The positions are thinned first, losing nothing:
 
 * Anchors. Of the 64-byte strings inside any `length`-byte window, the least by hash (the first among equals) is the
   window's anchor. Equal windows have equal anchors at equal places, so it is enough to rank anchors.

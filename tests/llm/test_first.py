@@ -11,7 +11,7 @@ import pytest
 
 from strataforge.llm import gif, mixing, packing, quality, secrets
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = packing.vocabulary()
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
