@@ -100,6 +100,8 @@ def test_reconcile(spark):
 def test_key_value_files(spark, tmp_path):
     (tmp_path / "l.vdf").write_text('"0" { "path"   "C:\\\\Games" }\n"1" { "path" "D:\\\\x" "installdir" "A B" }\n"2" { "path" "c:\\\\games\\\\" }')
     assert [r.path for r in listing.library_paths(spark, [str(tmp_path / "l.vdf")]).collect()] == ["C:\\Games", "D:\\x"]
+    roots = ["E:\\first", "", "c:\\games\\", "e:\\FIRST"]
+    assert [r.path for r in listing.library_paths(spark, [str(tmp_path / "l.vdf")], roots).collect()] == ["E:\\first", "c:\\games\\", "D:\\x"]
     text = spark.read.text(str(tmp_path / "l.vdf"), wholetext=True)
     assert text.select(listing.quoted_value(F.col("value"), "installdir")).first()[0] == "A B"
     assert [r.length for r in listing.file_sizes(spark, [str(tmp_path / "l.vdf")]).collect()] == [(tmp_path / "l.vdf").stat().st_size]
