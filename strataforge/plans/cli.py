@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=int, help="stop after so many records that give an image; no audit")
     p.add_argument("--out", required=True)
     p.add_argument("--files", action="store_true", help="also one PNG file for each manifest path, under files/; --out must be a folder that executors share")
+    p.add_argument("--one-manifest", action="store_true", help="the manifest as one CSV file, written by one task")
     p.add_argument("--yes", action="store_true", help="replace what an earlier run wrote")
     return p
 
@@ -80,7 +81,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
         with open(f"{o.out}/{safety.MARKER}", "w") as marker:
             marker.write("written by strataforge\n")
     done = spark.read.parquet(f"{o.out}/rows")
-    extraction.write_manifest(done, f"{o.out}/manifest", save)
+    extraction.write_manifest(done, f"{o.out}/manifest", save, o.one_manifest)
     extraction.write_images(done, f"{o.out}/images", save)
     extraction.previews(done).write.mode(save).parquet(f"{o.out}/previews")
     if o.files:
