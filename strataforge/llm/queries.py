@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, gif, mixing, neardup, neighbours, packing, pii, quality, repeats, secrets, sql
+from . import ctw, gif, mixing, neardup, neighbours, packing, phrases, pii, quality, repeats, secrets, shards, sql, trie
 from .common import table
 
 
@@ -67,9 +67,23 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _ = shards.shard(table(spark, sf_dir, "documents"), shards=40)
+    columns = ["doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"]
+    return placed.select(*columns)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op3_minhash_near_dedup, op4_best_fit_packing, op5_suffix_array_dedup, op6_secret_scan, op7_personal_data, op8_context_tree_scores, op9_gif_columns, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op3_minhash_near_dedup, op4_best_fit_packing, op5_suffix_array_dedup, op6_secret_scan, op7_personal_data, op8_context_tree_scores, op9_gif_columns, op10_nearest_neighbours, op11_phrase_collocations, op12_virtual_slots, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": sql.MIX}
+    return {"op2_mix_sources": sql.MIX, "op11_phrase_collocations": sql.PHRASES, "op13_prefix_trie": sql.TRIE}
