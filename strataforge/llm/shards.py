@@ -47,11 +47,16 @@ def read_map(stored: DataFrame) -> SlotMap:
     return SlotMap(*(first[c].to_numpy() for c in ("virtual_slot", "part", "bytes")), [g["shard"].to_numpy() for _, g in rows.groupby("version")])
 
 
-def new_map(slot_bytes: dict[int, int], slots: int, shards: int, grain: int) -> SlotMap:
-    """Version 1 deals slots round. A slot over 1 / grain of a mean shard is an entry for each such share of its bytes."""
+def parts_of(slot_bytes: dict[int, int], shards: int, grain: int) -> dict[int, int]:
+    """Into how many parts a slot over 1 / grain of a mean shard is cut, by slot."""
     share = max(1, sum(slot_bytes.values()) // (shards * grain))
-    entries = [(s, p, n // k + (p < n % k)) for s in range(slots) for n in [slot_bytes.get(s, 0)] for k in [-(-n // share) if n > share else 1] for p in range(k)]
-    slot, part, size = np.array(entries, np.int64).T
+    return {s: -(-n // share) for s, n in slot_bytes.items() if n > share}
+
+
+def new_map(entry_bytes: dict[tuple[int, int], int], parts: dict[int, int], slots: int, shards: int) -> SlotMap:
+    """Version 1 deals slots, and the parts of heavy ones, round."""
+    slot, part = np.array([(s, p) for s in range(slots) for p in range(parts.get(s, 1))], np.int64).T
+    size = np.array([entry_bytes.get(e, 0) for e in zip(slot.tolist(), part.tolist(), strict=True)], np.int64)
     return SlotMap(slot, part, size, [(slot + part) % shards])
 
 
@@ -120,18 +125,18 @@ def shard(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text_col
         F.pmod(F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit(""))), F.lit(slots)).cast("int").alias("virtual_slot"),
         F.monotonically_increasing_id().alias("_n"),
     )
-    rows = stage(rows, "shard-rows")
+    rows = staged = stage(rows, "shard-rows")
     weights = dict(rows.groupBy("virtual_slot").agg(F.sum("size")).collect())  # slots rows at most
-    m = new_map(weights, slots, shards, grain)
+    parts = parts_of(weights, shards, grain)  # grain * shards parts of heavy slots at most, and one more for each of them
+    known = F.broadcast(spark.createDataFrame([(s, parts.get(s, 1)) for s in range(slots)], "virtual_slot int, _parts int"))
+    rows = rows.join(known, "virtual_slot").withColumn("part", F.pmod(F.xxhash64("_n"), F.col("_parts")).cast("int"))
+    sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("virtual_slot", "part").agg(F.sum("size")).collect()}
+    m = new_map(sizes, parts, slots, shards)
     rebalance(m, shards)
     stored = m.store(spark)
-    latest = stored.where(F.col("version") == len(m.versions))
-    entries = latest.withColumn("_parts", F.expr("count(*) over (partition by virtual_slot)"))
-    part = F.pmod(F.xxhash64("_n"), F.col("_parts")).cast("int")
-    # The map has at most slots + grain * shards + slots rows.
-    heavy = F.broadcast(entries.select("virtual_slot", "_parts").distinct())
-    dealt = rows.join(heavy, "virtual_slot").withColumn("part", part).join(F.broadcast(latest.select("virtual_slot", "part", "shard")), ["virtual_slot", "part"])
+    latest = stored.where(F.col("version") == len(m.versions)).select("virtual_slot", "part", "shard")
+    dealt = rows.join(F.broadcast(latest), ["virtual_slot", "part"])
     chunks = sorted_chunks(dealt.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", "_n", F.lit(1).cast("long").alias("_one")), ["shard", "virtual_slot", "_n"], "shard-order")
-    unstage(rows)
+    unstage(staged)
     placed = running_sums(chunks, "shard", "_one", "place")
     return placed.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", "place"), stored

@@ -17,7 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import running_sums, small_batches, sorted_chunks, stage, unstage
@@ -78,15 +78,19 @@ def banded(paths: DataFrame, height: int) -> DataFrame:
     return here.union(paths.where((F.col("depth") > 0) & (F.col("depth") % height == 0)).withColumns({"band": band - 1, "foot": F.lit(True)}))
 
 
-#: The rows of a path in a band, deepest first: height + 1 at most.
-UP = Window.partitionBy("conv", "band").orderBy(F.desc("depth"))
-BELOW = UP.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-OWN = F.col("conv") == F.col("top")
+#: A row's node is the path's own.
+OWN = "conv = top"
 
 
-def told(bands: DataFrame, counts, leaves: str, saved: str) -> DataFrame:
+def up() -> WindowSpec:
+    """The rows of a path in a band, deepest first: height + 1 at most."""
+    return Window.partitionBy("conv", "band").orderBy(F.desc("depth"))
+
+
+def told(bands: DataFrame, counts: Column, leaves: str, saved: str) -> DataFrame:
     """top, depth, leaves, saved: what each path's own nodes that count tell every row of the path above them in the band."""
-    value = lambda c: F.sum(F.when(OWN & counts, F.col(c))).over(BELOW)
+    below = up().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    value = lambda c: F.sum(F.when(F.expr(OWN) & counts, F.col(c))).over(below)
     rows = bands.withColumns({"_l": value(leaves), "_s": value(saved)}).where(~F.col("foot") & F.col("_l").isNotNull())
     return rows.select("top", "depth", F.col("_l").alias("leaves"), F.col("_s").alias("saved"))
 
@@ -164,10 +168,10 @@ def prefix_trie(conversations: DataFrame, *, step: int = 100, most: int = 6, hei
     paths = stage(deep.union(root), "trie-tops")
     unstage(names, nodes)
 
-    kin = banded(paths, height).withColumns({"parent": F.lead("top").over(UP), "child": F.lag(OWN).over(UP)})
+    kin = banded(paths, height).withColumns({"parent": F.lead("top").over(up()), "child": F.lag(F.expr(OWN)).over(up())})
     below = F.col("foot") | (F.col("depth") % height != 0) | (F.col("depth") == 0)
     wide = lambda df, **c: df.select("conv_id", "depth", *[c.get(x, F.lit(None)).cast("string" if x == "sha" else "long").alias(x) for x in ("parent", "n", "children", "leaves", "saved", "sha")])
-    own = wide(kin.where(OWN & below).withColumn("conv_id", F.col("conv")), parent=F.col("parent"), n=F.col("n"))
+    own = wide(kin.where(F.expr(OWN) & below).withColumn("conv_id", F.col("conv")), parent=F.col("parent"), n=F.col("n"))
     children = wide(kin.where(~F.col("foot") & F.col("child")).withColumn("conv_id", F.col("top")), children=F.lit(1))
     totals = wide(rolled_up(paths.select("conv", "depth", "top", "leaves", "saved"), height, top[3]).withColumnRenamed("top", "conv_id"), leaves=F.col("leaves"), saved=F.col("saved"))
     hashes = wide(hashed_ends(paths.where("last = 1").select("top", "depth", "conv")).withColumnRenamed("top", "conv_id"), sha=F.col("sha"))
