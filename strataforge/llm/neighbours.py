@@ -92,12 +92,13 @@ def probe(trees: list[Tree], counts: list[np.ndarray], q: np.ndarray, enough: in
     return out
 
 
-def needed_share(trees: list[Tree], x: np.ndarray, k: int, recall: float, tries: int, rng: np.random.Generator) -> float:
-    """Rows to visit, as a multiple of all rows, for the recall on the sample itself; the number of trees at most.
+def needed_share(trees: list[Tree], x: np.ndarray, ids: np.ndarray, k: int, recall: float, tries: int, rng: np.random.Generator) -> float:
+    """Rows to visit, as a multiple of all rows, for the recall of ids on the sample itself; the number of trees at most.
 
     Vectors without any structure need a large share: no tree can say where their neighbours are.
     """
-    picks = rng.choice(len(x), min(tries, len(x)), replace=False)
+    one_each = np.unique(ids, return_index=True)[1]
+    picks = rng.choice(one_each, min(tries, len(one_each)), replace=False)
     leaves = [t.leaf_of(x) for t in trees]
     counts = [np.bincount(at, minlength=t.leaves) for at, t in zip(leaves, trees, strict=True)]
     ranks = []  # for each true neighbour the share at which some leaf of its own is opened
@@ -105,8 +106,9 @@ def needed_share(trees: list[Tree], x: np.ndarray, k: int, recall: float, tries:
         q = x[p].copy()
         q[-1] = 0
         scores = x @ q
-        scores[p] = -np.inf
-        true = np.argsort(-scores, kind="stable")[: min(k, len(x) - 1)]
+        order = np.argsort(-scores, kind="stable")
+        order = order[ids[order] != ids[p]]
+        true = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]  # each id by its nearest row
         opened, rows = {}, 0
         for i, leaf in probe(trees, counts, q, len(x) * len(trees)):
             opened[i, leaf] = rows
@@ -129,9 +131,10 @@ def nearest(
     """query_id, rank, vec_id, score of the k nearest rows of each query (an id divisible by every), the query's own id excluded.
 
     Vectors that are null, zero, hold null or non-finite components, lack an id, or are of another length than most take
-    no part. Ids that repeat count once, with their best score. Ties go to the smaller id. An empty table gives an empty
-    one. sample bounds the rows that the trees are fitted on and that say how many rows a query must visit for the
-    recall; every row is indexed and can be found.
+    no part. Rows that repeat an id and its vector are one row; an id with several vectors counts once, with its best
+    score, and asks with all of them. Ties go to the smaller id. An empty table gives an empty one. sample bounds the
+    rows that the trees are fitted on and that say how many rows a query must visit for the recall; every row is indexed
+    and can be found. A query that has found fewer ids than there are to find visits every row.
     """
     spark = vectors.sparkSession
     v = F.col("_v")
@@ -143,9 +146,11 @@ def nearest(
     lengths = rows.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").first()
     if lengths is None:
         return spark.createDataFrame([], out_schema)
-    rows = stage(rows.where(F.size(v) == lengths["n"]).withColumn("_sq", F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), "ann-rows")
+    rows = rows.where(F.size(v) == lengths["n"]).distinct()
+    rows = rows.withColumns({"_sq": F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), "_n": F.monotonically_increasing_id()})
+    rows = stage(rows, "ann-rows")
     top = float(rows.agg(F.max("_sq")).first()[0])
-    picked = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).select("_v", "_sq").toPandas()
+    picked = rows.orderBy(F.xxhash64("vec_id", "_v", F.lit(seed)), "vec_id").limit(sample).select("vec_id", "_v", "_sq").toPandas()
 
     def lifted(part: pd.DataFrame) -> np.ndarray:
         """One more component makes all lengths equal, so that a large inner product is a small distance."""
@@ -154,17 +159,17 @@ def nearest(
     points = lifted(picked)
     rng = np.random.default_rng(seed)
     grown = [grow(points, leaf_size, rng) for _ in range(trees)]
-    share = needed_share(grown, points, k, recall, tries, rng)
+    share = needed_share(grown, points, picked["vec_id"].to_numpy(), k, recall, tries, rng)
     forest = spark.sparkContext.broadcast(grown)
 
     def index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             x = lifted(part) if len(part) else np.zeros((0, 1))
             for i, tree in enumerate(forest.value if len(part) else []):
-                yield pd.DataFrame({"tree": i, "leaf": tree.leaf_of(x), "vec_id": part["vec_id"]})
+                yield pd.DataFrame({"tree": i, "leaf": tree.leaf_of(x), "_n": part["_n"]})
 
-    # The index holds leaves and ids; vectors join it in the group step, one copy for a tree.
-    leaves = stage(rows.mapInPandas(index, "tree int, leaf int, vec_id long"), "ann-index")
+    # The index holds leaves and rows' numbers; vectors join it in the group step, one copy for a tree.
+    leaves = stage(rows.mapInPandas(index, "tree int, leaf int, _n long"), "ann-index")
     sizes = leaves.groupBy("tree", "leaf").agg(F.count("*").alias("n")).toPandas()  # trees x leaves rows at most
     counts = [np.zeros(t.leaves, np.int64) for t in forest.value]
     for i, leaf, n in sizes.itertuples(index=False):
@@ -174,26 +179,15 @@ def nearest(
 
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = [(i, leaf, key) for key, vec in zip(part["vec_id"], part["_v"], strict=True) for i, leaf in probe(forest.value, counts_shared.value, np.append(vec, 0.0), enough)]
-            yield pd.DataFrame(out, columns=["tree", "leaf", "query_id"])
-
-    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "_v")
-    asked = queries.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "vec_id").mapInPandas(ask, "tree int, leaf int, query_id long")
-    asked = stage(asked, "ann-asked")
-    # A leaf's rows are dealt into salts and its queries into blocks, group_rows each at most on average; each salt meets each block.
-    sizes = sizes.merge(asked.groupBy("tree", "leaf").agg(F.count("*").alias("q")).toPandas(), on=["tree", "leaf"])
-    groups = spark.createDataFrame([(int(i), int(leaf), -(-int(n) // group_rows), -(-int(q) // group_rows)) for i, leaf, n, q in sizes.itertuples(index=False)], "tree int, leaf int, salts int, blocks int")
-    part_of = lambda key, n: F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    there = leaves.join(F.broadcast(groups), ["tree", "leaf"]).withColumn("salt", part_of("vec_id", "salts")).withColumn("block", each("blocks"))
-    there = there.join(rows.select("vec_id", "_v"), "vec_id").select("tree", "leaf", "salt", "block", "vec_id", "_v")
-    asked = asked.join(F.broadcast(groups), ["tree", "leaf"]).withColumn("block", part_of("query_id", "blocks")).withColumn("salt", each("salts"))
-    asked = asked.join(queries.select(F.col("vec_id").alias("query_id"), F.col("_v").alias("q")), "query_id").select("tree", "leaf", "salt", "block", "query_id", "q")
+            out = [(i, leaf, n) for n, vec, most in zip(part["_n"], part["_v"], part["_most"], strict=True) for i, leaf in probe(forest.value, counts_shared.value, np.append(vec, 0.0), most)]
+            yield pd.DataFrame(out, columns=["tree", "leaf", "_q"])
 
     def best(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        left = left.sort_values("vec_id", kind="stable")
         ids, x = left["vec_id"].to_numpy(), np.stack(left["_v"]).astype(float)
+        first_of = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         longest = float(np.sqrt((x * x).sum(axis=1).max()))
         out = []
         for at in range(0, len(right), 256):
@@ -201,8 +195,9 @@ def nearest(
             asking = np.stack(part["q"]).astype(float)
             for key, q, row in zip(part["query_id"], asking, asking @ x.T, strict=True):
                 row[ids == key] = -np.inf
-                # The block's product only picks, with room for its rounding; what is picked is scored in one fixed order.
-                least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                # The block's product only picks, with room for its rounding, k ids; what is picked is scored in one fixed order.
+                of_id = np.maximum.reduceat(row, first_of)
+                least = np.partition(of_id, len(of_id) - k)[len(of_id) - k] if len(of_id) > k else -np.inf
                 pick = np.flatnonzero((row >= least - 1e-12 * longest * np.linalg.norm(q)) & (row > -np.inf))
                 score = inner(x[pick], q)
                 order = np.lexsort((ids[pick], -score))
@@ -212,8 +207,30 @@ def nearest(
                 out.append(pd.DataFrame({"query_id": key, "vec_id": ids[pick[first]], "score": score[first]}))
         return pd.concat(out)
 
-    keys = ["tree", "leaf", "salt", "block"]
-    scored = there.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
-    once = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def search(queries: DataFrame) -> DataFrame:
+        """queries (_n, query_id, _v, _most: rows to visit) -> query_id, vec_id, score: k ids at most, ranked."""
+        asked = queries.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "_n").mapInPandas(ask, "tree int, leaf int, _q long")
+        asked = stage(asked, "ann-asked")
+        # A leaf's rows are dealt into salts and its queries into blocks, group_rows each at most on average; each salt meets each block.
+        asking = sizes.merge(asked.groupBy("tree", "leaf").agg(F.count("*").alias("q")).toPandas(), on=["tree", "leaf"])
+        groups = spark.createDataFrame([(int(i), int(leaf), -(-int(n) // group_rows), -(-int(q) // group_rows)) for i, leaf, n, q in asking.itertuples(index=False)], "tree int, leaf int, salts int, blocks int")
+        part_of = lambda key, n: F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        there = leaves.join(F.broadcast(groups), ["tree", "leaf"]).withColumn("salt", part_of("_n", "salts")).withColumn("block", each("blocks"))
+        there = there.join(rows.select("_n", "vec_id", "_v"), "_n").select("tree", "leaf", "salt", "block", "vec_id", "_v")
+        asked = asked.join(F.broadcast(groups), ["tree", "leaf"]).withColumn("block", part_of("_q", "blocks")).withColumn("salt", each("salts"))
+        asked = asked.join(queries.select(F.col("_n").alias("_q"), "query_id", F.col("_v").alias("q")), "_q").select("tree", "leaf", "salt", "block", "query_id", "q")
+        keys = ["tree", "leaf", "salt", "block"]
+        scored = there.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
+        once = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    queries = rows.where(F.col("vec_id") % every == 0).select("_n", F.col("vec_id").alias("query_id"), "_v")
+    found = stage(search(queries.withColumn("_most", F.lit(enough))), "ann-found")
+    there_are = min(k + 1, rows.select("vec_id").distinct().limit(k + 1).count()) - 1
+    full = found.groupBy("query_id").count().where(F.col("count") >= there_are).select("query_id")
+    short = stage(queries.join(full, "query_id", "left_anti").withColumn("_most", F.lit(int(counts[0].sum()) * trees + 1)), "ann-short")
+    if not there_are or short.isEmpty():
+        return found
+    return found.join(short.select("query_id"), "query_id", "left_anti").unionByName(search(short))

@@ -70,6 +70,33 @@ def test_ties_across_leaves(spark):
     assert len(got) == 30
 
 
+@pytest.mark.parametrize("times", [2, 5])
+def test_repeated_rows(spark, times):
+    """Copies of rows change nothing; k ids are found however many rows they have."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
+    want = brute(rows, 20, 20)
+    got = {}
+    df = spark.createDataFrame(rows * times, "vec_id long, embedding array<double>")
+    for r in neighbours.nearest(df, leaf_size=16, group_rows=64, recall=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert {q: [i for i, _ in f] for q, f in got.items()} == {q: [i for i, _ in f] for q, f in want.items()}
+
+
+def test_one_id_on_many_rows(spark):
+    """2,000 rows of one id, equal and different ones, crowd every leaf: each query still finds its 20 ids."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)] + [(7, [9.0, 1.0, 0.0, 0.0, 0.0, 0.0])] * 1000 + [(40, (rng.normal(size=6) * 3).tolist()) for _ in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(df, leaf_size=32, recall=0.99).collect()
+    per = {}
+    for r in found:
+        per.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(per) == set(range(0, 300, 20)) and all(len(ids) == 20 and q not in ids for q, ids in per.items())
+    want = brute(rows, 20, 20)
+    assert sum(len(per[q] & {i for i, _ in want[q]}) for q in per) >= 0.9 * 20 * len(per)
+
+
 def test_inner_is_one_number():
     rng = np.random.default_rng(2)
     x, q = rng.normal(size=(500, 77)), rng.normal(size=77)
