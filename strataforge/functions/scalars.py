@@ -42,8 +42,9 @@ def bgr15(value: Column) -> tuple[Column, Column, Column]:
 def le_uint(data: Column, offset: Column | int, size: int) -> Column:
     """An unsigned little-endian integer at a byte offset of a BINARY; null beyond its end."""
     at = F.lit(offset) if isinstance(offset, int) else offset
-    byte = lambda i: F.conv(F.hex(F.substr(data, (at + 1 + i).cast("int"), F.lit(1))), 16, 10).cast("long") * (1 << 8 * i)
-    return F.when(F.octet_length(data) >= at + size, reduce(lambda a, b: a + b, [byte(i) for i in range(size)]))
+    raw = F.hex(F.substr(data, (at + 1).cast("int"), F.lit(size)))
+    turned = F.concat(*[F.substring(raw, 2 * i + 1, 2) for i in reversed(range(size))])
+    return F.when(F.octet_length(data) >= at + size, F.conv(turned, 16, 10).cast("long"))
 
 
 def header_words(tile: Column) -> dict[str, Column]:

@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -132,17 +132,23 @@ def reconcile(expected: DataFrame, actual: DataFrame, key: str, want: str, got:
     return both.withColumn("status", status)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that the cluster shares, and read back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where Spark runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         path = tempfile.mkdtemp(prefix="strataforge-")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """df written to the folder that the cluster shares, in folders by some columns if asked, and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,8 +23,8 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def le(value: Column, size: int) -> Column:
     """An unsigned number as size little-endian bytes."""
-    byte = lambda i: F.unhex(F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * i).bitwiseAND(F.lit(255))), 2, "0"))
-    return F.concat(*[byte(i) for i in range(size)])
+    byte = lambda i: F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * i).bitwiseAND(F.lit(255))), 2, "0")
+    return F.unhex(F.concat(*[byte(i) for i in range(size)]))
 
 
 def zeros(n: Column | int) -> Column:
@@ -32,7 +32,7 @@ def zeros(n: Column | int) -> Column:
 
 
 def together(pieces: Column) -> Column:
-    return F.aggregate(pieces, F.unhex(F.lit("")), lambda a, b: F.concat(a, b))
+    return F.unhex(F.array_join(F.transform(pieces, F.hex), ""))
 
 
 def orders_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,13 +61,15 @@ def record_sets(spark, sf_dir):
 
 
 def record_directions(spark, sf_dir):
-    """Directions of a set: each line of an order fills one of its eight slots, with l_suppkey % 5 + 1 frames."""
+    """Directions of sets: each eight lines of an order fill the slots of a set, each with l_suppkey % 5 + 1 frames."""
     many = lambda x: x["l_suppkey"] % 5 + 1
     body = lambda x: F.concat(zeros(20), le(x["l_linenumber"], 2), le(x["l_partkey"] % 100, 2), le(F.lit(7), 2), le(F.lit(9), 2), zeros(20), together(F.transform(F.sequence(F.lit(1).cast("long"), many(x)), lambda k: F.concat(zeros(4), le(k + x["l_partkey"], 4)))))
     ends = F.aggregate("lines", F.array(F.lit(0x58).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + 0x30 + 8 * many(x))))
     slots = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i < F.size("lines"), le(F.get("ends", i), 4)).otherwise(zeros(4)))
-    rows = orders_lines(spark, sf_dir).withColumn("lines", F.slice("lines", 1, 8)).withColumn("ends", ends).select("l_orderkey", F.concat(zeros(0x38), together(slots), together(F.transform("lines", body))).alias("blob"))
-    return parsed(rows, lambda r: [(r.l_orderkey, slot, x, y, w, h, len(found), sum(found)) for slot, x, y, w, h, found in records.directions(r.blob, 0)], "l_orderkey long, slot int, x int, y int, w int, h int, frames int, tiles long")
+    per_set = orders_lines(spark, sf_dir).select("l_orderkey", "lines", F.explode(F.sequence(F.lit(0), F.expr("(size(lines) - 1) div 8").cast("int"))).alias("set_ord"))
+    per_set = per_set.withColumn("lines", F.slice("lines", F.col("set_ord") * 8 + 1, F.lit(8)))
+    rows = per_set.withColumn("ends", ends).select("l_orderkey", "set_ord", F.concat(zeros(0x38), together(slots), together(F.transform("lines", body))).alias("blob"))
+    return parsed(rows, lambda r: [(r.l_orderkey, r.set_ord, slot, x, y, w, h, len(found), sum(found)) for slot, x, y, w, h, found in records.directions(r.blob, 0)], "l_orderkey long, set_ord int, slot int, x int, y int, w int, h int, frames int, tiles long")
 
 
 def record_scan(spark, sf_dir):
@@ -79,7 +81,7 @@ def record_scan(spark, sf_dir):
 def record_walk(spark, sf_dir):
     """Tiles that a backward walk takes: the last of equal ones, those of the fitting parts, in file order."""
     pairs = together(F.transform("lines", lambda x: F.concat(zeros(4), le(x["l_partkey"], 4))))
-    rows = orders_lines(spark, sf_dir).where(F.size("lines") > 1).select("l_orderkey", F.concat(zeros(74), le(F.size("lines"), 2), zeros(12), pairs).alias("blob"))
+    rows = orders_lines(spark, sf_dir).select("l_orderkey", F.concat(zeros(74), le(F.size("lines"), 2), zeros(24), pairs).alias("blob"))
 
     def work(r) -> list[tuple]:
         want, found = records.state_walk(r.blob, 0, len(r.blob))
@@ -234,11 +236,11 @@ def oracle_sql() -> dict[str, str]:
     some = "CASE WHEN NOT ((c LIKE 'buildings/%' AND b NOT IN (80, 192, 208, 1)) OR (c IN ('heroes/sprites', 'monsters/sprites') AND b NOT IN (8)) OR (c IN ('buildings/sprites', 'buildings/lairs') AND b NOT IN (80, 192, 208)) OR (c = 'spell_effects' AND b NOT IN (1, 8, 16, 128, 192, 2000, 2100, 2200))) THEN c END"
     return {
         "record_sets": f"SELECT l_orderkey, CAST(i AS INTEGER) AS set_ord, l_partkey AS set_id, 24 + 8 * n + 10 * i AS start_at, 34 + 8 * n + 10 * i AS end_at FROM {lines}",
-        "record_directions": f"""SELECT l_orderkey, CAST(i AS INTEGER) AS slot, CAST(l_linenumber AS INTEGER) AS x, CAST(l_partkey % 100 AS INTEGER) AS y, 7 AS w, 9 AS h, CAST(f AS INTEGER) AS frames, CAST(f * l_partkey + f * (f + 1) // 2 AS BIGINT) AS tiles
-            FROM (SELECT *, l_suppkey % 5 + 1 AS f FROM {lines}) WHERE i < 8""",
+        "record_directions": f"""SELECT l_orderkey, CAST(i // 8 AS INTEGER) AS set_ord, CAST(i % 8 AS INTEGER) AS slot, CAST(l_linenumber AS INTEGER) AS x, CAST(l_partkey % 100 AS INTEGER) AS y, 7 AS w, 9 AS h, CAST(f AS INTEGER) AS frames, CAST(f * l_partkey + f * (f + 1) // 2 AS BIGINT) AS tiles
+            FROM (SELECT *, l_suppkey % 5 + 1 AS f FROM {lines})""",
         "record_scan": f"SELECT l_orderkey, 80 + 4 * i AS at, l_partkey + 70000 AS number FROM {lines}",
         "record_walk": f"""WITH l AS (SELECT l_orderkey, l_partkey, max(i) AS i, max(n) AS n FROM {lines} GROUP BY 1, 2)
-            SELECT l_orderkey, CAST(max(n) AS INTEGER) AS want, coalesce(string_agg(CASE WHEN l_partkey % 3 <> 0 THEN CAST(l_partkey AS VARCHAR) END, ',' ORDER BY i), '') AS taken FROM l WHERE n > 1 GROUP BY 1""",
+            SELECT l_orderkey, CAST(max(n) AS INTEGER) AS want, coalesce(string_agg(CASE WHEN l_partkey % 3 <> 0 THEN CAST(l_partkey AS VARCHAR) END, ',' ORDER BY i), '') AS taken FROM l GROUP BY 1""",
         "tile_runs": """SELECT p_partkey, 20 AS w, 2 AS h, 1 AS size, CAST(y AS INTEGER) AS y, CAST(p_partkey % 9 AS INTEGER) AS x, CAST(CASE y WHEN 0 THEN p_size % 7 ELSE p_partkey % 5 END + 1 AS INTEGER) AS pixels, CAST(p_partkey % 200 + y AS INTEGER) AS value
             FROM part, range(2) AS r(y)""",
         "tile_draw": f"""SELECT l_orderkey, CAST(count(*) FILTER (v <> 0) AS INTEGER) AS visible, CAST(sum({_bits('v', 11, 31)}) AS BIGINT) AS red, CAST(sum({_bits('v', 5, 63)}) AS BIGINT) AS green, CAST(sum({_bits('v', 0, 31)}) AS BIGINT) AS blue

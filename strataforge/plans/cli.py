@@ -6,15 +6,14 @@
 from __future__ import annotations
 
 import argparse
-import os
-import shutil
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.plans import extraction, safety
 from strataforge.plans.rules import MODES
-from strataforge.sources.archive import entries
+from strataforge.sources.archive import entries, landed, ranged
+from strataforge.sources.files import located
 from strataforge.sources.listing import file_sizes
 
 
@@ -28,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--full", action="store_true", help="the same as --mode all-raw")
     p.add_argument("--limit", type=int, help="stop after so many records that give an image; no audit")
     p.add_argument("--out", required=True)
-    p.add_argument("--files", action="store_true", help="also one PNG file for each manifest path, under files/; --out must be a folder that executors share")
+    p.add_argument("--files", action="store_true", help="also one PNG file for each manifest path, under files/")
     p.add_argument("--one-manifest", action="store_true", help="the manifest as one CSV file, written by one task")
     p.add_argument("--yes", action="store_true", help="replace what an earlier run wrote")
     return p
@@ -52,6 +51,16 @@ def present(spark: SparkSession, where: list[tuple[str, str, str]]) -> list[tupl
     return [w for w in where if w not in absent]
 
 
+def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Entries by range, or of whole files where only Spark knows a path's file system."""
+    try:
+        for path in paths:
+            located(path)
+    except (ValueError, OSError):
+        return entries(spark, paths)
+    return ranged(spark, paths)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> dict[str, int]:
     """Writes manifest/, images/, audit/ and previews/ (and files/ if asked) under --out; gives their counts. The audit raises once all is written."""
     o = parser().parse_args(args)
@@ -60,12 +69,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
     spark = spark or SparkSession.builder.getOrCreate()
     where = [(a.split("=", 1)[0].split(":")[0], a.split("=", 1)[0].split(":")[1], a.split("=", 1)[1]) for a in o.archive]
     where = present(spark, where)
-    local = "://" not in o.out
-    if local:
-        safety.validate_output(o.out, [path for *_, path in where])
+    safety.validate_output(o.out, [path for *_, path in where])
     mode = "all-raw" if o.full else o.mode
     sources = spark.createDataFrame([(f, label, i) for i, (f, label, _) in enumerate(where)], "family string, source string, source_ord int")
-    rows = extraction.labelled(entries(spark, [path for *_, path in where]), {label: path for _, label, path in where})
+    rows = landed(extraction.labelled(read(spark, [path for *_, path in where]), {label: path for _, label, path in where}))
     names = spark.read.csv(o.names, header=True, schema="set_id long, name string")
     curated = spark.read.csv(o.curated, header=True, schema="image_id string, category string") if o.curated else spark.createDataFrame([], "image_id string, category string")
     files = None
@@ -77,17 +84,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
 
     save = "overwrite" if o.yes else "errorifexists"
     extraction.extract(rows, sources, names, curated, known, mode=mode, limit=o.limit).write.mode(save).parquet(f"{o.out}/rows")
-    if local:
-        with open(f"{o.out}/{safety.MARKER}", "w") as marker:
-            marker.write("written by strataforge\n")
+    safety.mark(o.out)
     done = spark.read.parquet(f"{o.out}/rows")
     extraction.write_manifest(done, f"{o.out}/manifest", save, o.one_manifest)
     extraction.write_images(done, f"{o.out}/images", save)
     extraction.previews(done).write.mode(save).parquet(f"{o.out}/previews")
     if o.files:
-        if o.yes and os.path.isdir(f"{o.out}/files"):  # what an earlier run wrote; the guard has seen the folder
-            shutil.rmtree(f"{o.out}/files")
-        extraction.write_files(done, f"{o.out}/files")
+        extraction.write_files(done, f"{o.out}/files", o.yes)
     counts = {"images": done.count(), "records": done.select(F.slice("row_ord", 1, 3)).distinct().count()}
     if o.limit is None:
         extraction.audit(done, rows, sources).write.mode(save).parquet(f"{o.out}/audit")

@@ -4,11 +4,14 @@ import builder as B
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In
 
 from strataforge.functions import png
 from strataforge.operators.idioms import written
 from strataforge.plans import extraction as X
-from strataforge.sources.archive import ArchiveSource, entries
+from strataforge.sources.archive import ENTRY_SCHEMA, MAGIC, ArchiveReader, entries, header_size, index, landed, ranged
+
+ENTRY_SCHEMA_NAMES = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
 
 NAMES = [(8, "Stand"), (80, "Build"), (9, "Walk"), (1000, "Interface"), (1002, "Icon")]
 XML = """<r><a><Description ID="7" Name="Hero One" Description="The hero"><x><ImageIDBase value="AV01"/></x></Description></a>
@@ -62,14 +65,63 @@ def test_catalog(world):
     assert [(r.image_id, r.category, r.name, r.unit_id) for r in rows] == [("AV01", "monsters/sprites", "Ignored", "")]
 
 
-def test_data_source(spark, world):
-    spark.dataSource.register(ArchiveSource)
-    source = spark.read.format("archive").option("paths", f"{world['folder']}/main.bin").option("mostbytes", 500)
-    read = source.load()
-    want = entries(spark, [f"{world['folder']}/main.bin"])
-    columns = ["section_ord", "ext", "entry_ord", "display_name", "data"]
+def test_ranges(spark, world):
+    """The source gives the same entries by range as whole files do, and filters reach its reader."""
+    path = f"{world['folder']}/main.bin"
+    want = entries(spark, [path])
+    columns = ["section_ord", "ext", "entry_ord", "display_name", "data_offset", "data_size", "data"]
+    read = ranged(spark, [path], most_bytes=500)
     assert sorted(map(str, read.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
-    assert read.rdd.getNumPartitions() > 2 and source.option("exts", "TILE").load().count() == 9
+    assert read.rdd.getNumPartitions() > 2 and read.where("ext = 'TILE'").count() == 9
+    assert read.where("ext in ('TILE', 'SPLT') and data_size > 1000").count() == want.where("ext in ('TILE', 'SPLT') and data_size > 1000").count()
+    heads = ranged(spark, [path, f"{world['folder']}/pict.bin"], data=False)
+    assert "data" not in heads.columns and heads.where(F.col("source") == path).count() == want.count()
+    bad = world["folder"] / "bad.dat"
+    bad.write_bytes(b"x" * 40)
+    with pytest.raises(Exception, match="bad magic"):
+        ranged(spark, [str(bad)]).count()
+
+
+def test_bytes_read(world):
+    """Only headers and the bytes that were asked for are read; planning opens nothing."""
+    path = f"{world['folder']}/main.bin"
+    raw = open(path, "rb").read()
+    head, sizes = header_size(raw), {}
+    for e in index(raw):
+        sizes[e.ext] = sizes.get(e.ext, 0) + e.size
+
+    def read(most=1 << 20, data=True, *filters):
+        reader = ArchiveReader([path], MAGIC, most, data)
+        kept = list(reader.pushFilters(list(filters)))
+        parts = reader.partitions()
+        assert reader.bytes_read == 0
+        return [r for p in parts for r in reader.read(p)], reader.bytes_read, len(parts), kept
+
+    tile = EqualTo(("ext",), "TILE")
+    assert read()[1:3] == (head + sum(sizes.values()), 1)
+    assert read(1 << 20, True, tile)[1] == head + sizes["TILE"]
+    assert read(1 << 20, True, In(("ext",), ("SPLT", "TILE")))[1] == head + sizes["TILE"] + sizes["SPLT"]
+    rows, size, parts, kept = read(500, False, tile, EqualTo(("data_size",), 3))
+    assert (size, parts, len(rows), len(kept)) == (head, 1, 9, 1)
+    rows, size, parts, _ = read(500, True, tile)
+    assert (size, len(rows)) == (parts * head + sizes["TILE"], 9)
+    assert read(500, True, EqualTo(("source",), "elsewhere"))[:2] == ([], 0)
+
+
+def test_landed(spark, world):
+    """Once landed, what follows reads no archive: a step on one section reads that section's files alone."""
+    path = f"{world['folder']}/main.bin"
+    once = landed(ranged(spark, [path]))
+    assert once.columns == ENTRY_SCHEMA_NAMES and sorted(map(str, once.collect())) == sorted(map(str, ranged(spark, [path]).collect()))
+    tiles = once.where("ext = 'TILE'")
+    assert len(tiles.inputFiles()) < len(once.inputFiles()) or "PartitionFilters: [isnotnull(ext" in tiles._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<entry_ord:int>" in once.where("ext = 'TILE'").select("entry_ord")._jdf.queryExecution().toString()
+
+
+def test_labels_of_paths_that_end_alike(spark):
+    rows = spark.createDataFrame([("/a/base.bin",), ("/b/base.bin",), ("base.bin",), ("/c/other.bin",)], "source string")
+    got = X.labelled(rows, {"short": "base.bin", "a": "/a/base.bin"}).collect()
+    assert sorted(r.source for r in got) == ["a", "short", "short"]
 
 
 def test_default_preset(world):
