@@ -1,12 +1,10 @@
-"""Reusable operators over ordered rows: merge, dedup, fill, rank, sample, run-encode, reconcile, reach."""
+"""Reusable operators over ordered rows: merge, dedup, fill, rank, sample, run-encode, reconcile."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -150,53 +148,3 @@ def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-#: Cells a side of the blocks that are labelled in one task each.
-BLOCK = 256
-
-
-def block_labels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For each cell of one block the number of the first cell that it is tied to, eight ways."""
-    x, y, n = x - x.min() + 1, y - y.min() + 1, len(x)
-    grid, label = np.full((int(y.max()) + 2, int(x.max()) + 2), n, np.int64), np.arange(n)
-    while True:
-        grid[y, x] = label
-        rows = np.minimum(grid, np.minimum(np.roll(grid, 1, 0), np.roll(grid, -1, 0)))
-        near = np.minimum(rows, np.minimum(np.roll(rows, 1, 1), np.roll(rows, -1, 1)))[y, x]
-        near = np.minimum(near, near[near])
-        if (near == label).all():
-            return label
-        label = near
-
-
-def reach(cells: DataFrame, seeds: DataFrame, groups: list[str], most_rounds: int = 10_000) -> DataFrame:
-    """Cells (groups, x, y) that a path of neighbouring cells of their group, eight ways, ties to a seed.
-
-    Blocks of cells are labelled in one task each, so a task holds 65,536 cells at most. Labels that touch over an edge
-    of blocks are then followed from those with a seed: one round for each block that a path crosses.
-    """
-    keys, node = [*groups, "x", "y"], [*groups, "_bx", "_by", "_label"]
-    marked = cells.select(*keys).distinct().join(seeds.select(*keys).distinct().withColumn("_seed", F.lit(True)), keys, "left")
-    marked = marked.select(*groups, F.col("x").cast("long"), F.col("y").cast("long"), F.floor(F.col("x") / BLOCK).alias("_bx"), F.floor(F.col("y") / BLOCK).alias("_by"), F.coalesce("_seed", F.lit(False)).alias("_seed"))
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["y", "x"])
-        return part.assign(_label=block_labels(part["x"].to_numpy(), part["y"].to_numpy()))
-
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in marked.dtypes) + ", _label long"
-    cells = written(marked.groupBy(*groups, "_bx", "_by").applyInPandas(work, schema), "reach")
-    frontier = reached = written(cells.where("_seed").select(*node).distinct(), "reach")
-    edge = cells.where(f"pmod(x, {BLOCK}) in (0, {BLOCK - 1}) or pmod(y, {BLOCK}) in (0, {BLOCK - 1})")
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]))
-    moved = edge.select(*groups, "x", "y", *[F.col(c).alias(f"_from{c}") for c in node[len(groups) :]], steps.alias("s"))
-    moved = moved.withColumns({"x": F.col("x") + F.col("s.a"), "y": F.col("y") + F.col("s.b")})
-    ties = moved.join(edge, keys).where("_from_bx <> _bx or _from_by <> _by").select(*groups, *[c for n in node[len(groups) :] for c in (f"_from{n}", n)]).distinct()
-    ties = written(ties, "reach")
-    for _ in range(most_rounds):
-        near = frontier.withColumnsRenamed({n: f"_from{n}" for n in node[len(groups) :]}).join(ties, [*groups, *[f"_from{n}" for n in node[len(groups) :]]]).select(*node).distinct()
-        frontier = written(near.join(reached, node, "left_anti"), "reach")
-        if frontier.isEmpty():
-            return cells.join(reached, node, "left_semi").select(*keys)
-        reached = written(reached.union(frontier), "reach")
-    raise RuntimeError("reach did not settle")

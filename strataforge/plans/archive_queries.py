@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.functions import raster, tiles
@@ -20,8 +20,8 @@ from strataforge.sources import listing
 from strataforge.sources.archive import MAGIC, entries_of
 
 
-def order_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An archive for each order, as files (path, content): section REC holds l_partkey of each line, TILE l_suppkey and l_linenumber."""
+def content_of() -> Column:
+    """An archive's bytes from lines: section REC holds l_partkey of each line, TILE l_suppkey and l_linenumber."""
     n = F.size("lines")
     end = 52 + 56 * n  # magic, two numbers, two sections of eight bytes, their lists
     name = lambda letter, x: F.concat(F.encode(F.concat(F.lit(letter), x["l_linenumber"].cast("string")), "US-ASCII"), zeros(19 - F.length(x["l_linenumber"].cast("string"))))
@@ -30,8 +30,12 @@ def order_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = [F.concat(le(n, 4), zeros(4), together(first)), F.concat(le(n, 4), zeros(4), together(second))]
     heads = F.concat(F.lit(b"REC "), le(F.lit(36), 4), F.lit(b"TILE"), le(44 + 28 * n, 4))
     body = F.concat(together(F.transform("lines", lambda x: le(x["l_partkey"], 4))), together(F.transform("lines", lambda x: F.concat(le(x["l_suppkey"], 4), le(x["l_linenumber"], 2)))))
-    content = F.concat(F.lit(MAGIC), le(F.lit(2), 4), le(16 + 56 * n, 4), heads, *lists, body)
-    return orders_lines(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("path"), content.alias("content"))
+    return F.concat(F.lit(MAGIC), le(F.lit(2), 4), le(16 + 56 * n, 4), heads, *lists, body)
+
+
+def order_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive for each order, as files (path, content)."""
+    return orders_lines(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("path"), content_of().alias("content"))
 
 
 def archive_entries(spark, sf_dir):

@@ -208,3 +208,37 @@ def test_size_estimate(spark):
     files = spark.createDataFrame([("main", 100), ("interface", 100), ("picture", 1000)], "family string, length long")
     get = lambda mode, video: X.size_estimate(files, mode=mode, video=video).first()[0]
     assert [get("all-raw", False), get("relevant-raw", True), get("relevant-art", True)] == [650, 1360, 890]
+
+
+def test_limit_stops_decoding(world, monkeypatch):
+    """Records are decoded in ranges until enough give an image; the rows are those of a whole run's first records."""
+    asked = []
+    whole = X.decode
+
+    def watched(refs, *args, **options):
+        asked.append(refs.select("source", "record_ord").distinct().count())
+        return whole(refs, *args, **options)
+
+    rows, _ = run(world)
+    keys = sorted({tuple(r.row_ord[:3]) for r in rows.values()})
+    monkeypatch.setattr(X, "decode", watched)
+    few = {r.png: r for r in X.extract(world["entries"], world["sources"], world["names"], world["curated"], world["known"], limit=1, first_range=1).collect()}
+    seen, asked[:] = sum(asked), []
+    assert set(few) == {p for p, r in rows.items() if tuple(r.row_ord[:3]) == keys[0]}
+    assert few[min(few)].image == rows[min(few)].image
+    more = X.extract(world["entries"], world["sources"], world["names"], world["curated"], world["known"], limit=3, first_range=1)
+    assert {tuple(r.row_ord[:3]) for r in more.collect()} == set(keys[:3]) and sum(asked) > seen
+    with pytest.raises(ValueError):
+        X.extract(world["entries"], world["sources"], world["names"], world["curated"], world["known"], limit=0)
+
+
+def test_spans_agree_with_the_renderer():
+    """Runs of a tile, the last on top, are its stored pixels."""
+    overlapping = B.v3([[(5, [1, 1, 2, 3, 3]), (4, [7, 7]), (9, [1])], [(0, [])]], width=9)
+    version, size, clear, w, h, found = X.tiles.spans(overlapping, True)
+    grid = {}
+    for y, x, n, value in zip(found["y"], found["x"], found["n"], found["value"]):
+        grid |= {(y, x + i): value for i in range(n)}
+    assert (version, size, clear, w, h) == (3, 1, None, 9, 2) and grid == {(0, 0): 1, (0, 1): 1, (0, 2): 7, (0, 3): 7, (0, 4): 3, (0, 8): 1}
+    dense = B.v1([[0, 0xF800], [5, 5]], wide=True)
+    assert X.tiles.spans(dense, True)[:5] == (1, 2, 255, 2, 2) and X.tiles.spans(dense, True)[5]["value"].tolist() == [0, 0xF800, 5]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strataforge.functions import scalars as S
 from strataforge.operators import idioms as I
+from strataforge.operators import spans
 from strataforge.plans import registry, safety
 from strataforge.sources import listing
 
@@ -42,19 +43,18 @@ def test_query(spark, duck, name):
 def test_reach_stops_at_walls(spark):
     cells = [(x, y) for x in range(7) for y in range(7) if not (x in (1, 5) and 1 <= y <= 5 or y in (1, 5) and 1 <= x <= 5)]
     df = spark.createDataFrame(cells, "x long, y long")
-    got = {tuple(r) for r in I.reach(df, df.where("x = 0"), []).collect()}
+    got = {tuple(r) for r in spans.reach(df, df.where("x = 0"), []).collect()}
     assert got == {c for c in cells if not (2 <= c[0] <= 4 and 2 <= c[1] <= 4)} and len(got) < len(cells)
 
 
-def test_reach_over_blocks(spark, monkeypatch):
+def test_reach_over_blocks(spark):
     """A winding path over many blocks, in two groups of which one has no seed."""
     import random
 
-    monkeypatch.setattr(I, "BLOCK", 4)
     rng = random.Random(1)
     cells = {(g, x - 9, y) for g in "ab" for x in range(30) for y in range(20) if rng.random() < 0.45}
     df = spark.createDataFrame(sorted(cells), "g string, x long, y long")
-    got = {tuple(r) for r in I.reach(df, df.where("g = 'a' and x = -9"), ["g"]).collect()}
+    got = {tuple(r) for r in spans.reach(df, df.where("g = 'a' and x = -9"), ["g"], block=4).collect()}
     todo = [c for c in cells if c[0] == "a" and c[1] == -9]
     want = set(todo)
     while todo:
