@@ -28,7 +28,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=int, help="stop after so many records that give an image; no audit")
     p.add_argument("--out", required=True)
     p.add_argument("--files", action="store_true", help="also one PNG file for each manifest path, under files/")
-    p.add_argument("--one-manifest", action="store_true", help="the manifest as one CSV file, written by one task")
+    p.add_argument("--one-manifest", action="store_true", help="also the manifest as one CSV file, manifest.csv; --out must be mounted")
+    p.add_argument("--zip", action="store_true", help="also all images as one file, images.zip; --out must be mounted")
     p.add_argument("--yes", action="store_true", help="replace what an earlier run wrote")
     return p
 
@@ -86,7 +87,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
     extraction.extract(rows, sources, names, curated, known, mode=mode, limit=o.limit).write.mode(save).parquet(f"{o.out}/rows")
     safety.mark(o.out)
     done = spark.read.parquet(f"{o.out}/rows")
-    extraction.write_manifest(done, f"{o.out}/manifest", save, o.one_manifest)
+    extraction.write_manifest(done, f"{o.out}/manifest", save)
+    if o.one_manifest:
+        extraction.write_one_manifest(done, f"{o.out}/manifest.csv")
+    if o.zip:
+        extraction.write_image_archive(done, f"{o.out}/images.zip")
     extraction.write_images(done, f"{o.out}/images", save)
     extraction.previews(done).write.mode(save).parquet(f"{o.out}/previews")
     if o.files:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,8 +16,9 @@ from strataforge.operators import matching, spans
 from strataforge.operators.idioms import shared_folder
 from strataforge.plans.archive_queries import _le_hex, content_of
 from strataforge.plans.binary_queries import le, t, together, zeros
+from strataforge.sources import onefile
 from strataforge.sources.archive import ranged
-from strataforge.sources.files import located, write_tree
+from strataforge.sources.files import located, opened, write_tree
 
 MARKERS = [("oroued", 60, "third"), ("hable", 40, "second"), ("ithe", 20, "first"), ("ntat", 90, "last")]
 
@@ -95,7 +97,26 @@ def archive_ranges(spark, sf_dir):
     return rows.select(F.regexp_extract("source", r"(\d+)\.bin$", 1).cast("long").alias("k"), "entry_ord", "display_name", "data_offset", "data_size", F.hex("data").alias("data"))
 
 
-_ALL = (painted_runs, tile_paint, tied_runs, prefix_join, stage_progress, archive_ranges)
+def zip_members(spark, sf_dir):
+    """Members of one archive of all documents, stored as they are: each one's place, and its digest as read back from there."""
+    docs = t(spark, sf_dir, "documents")
+    files = docs.select(F.format_string("doc-%d.txt", F.col("doc_id")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}.zip"
+    placed = onefile.write_zip(files, path, deflate=False)
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with opened(path) as file:
+            for part in parts:
+                digests = []
+                for name, packed, at in zip(part["name"], part["packed"], part["at"], strict=True):
+                    file.seek(at + 30 + len(name.encode()))
+                    digests.append(hashlib.md5(file.read(packed)).hexdigest())
+                yield part.assign(md5=digests)
+
+    return placed.select("name", "size", "packed", "at").mapInPandas(work, "name string, size long, packed long, at long, md5 string")
+
+
+_ALL = (zip_members, painted_runs, tile_paint, tied_runs, prefix_join, stage_progress, archive_ranges)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -107,6 +128,8 @@ def oracle_sql() -> dict[str, str]:
     stage = "CASE progress " + " ".join(f"WHEN {v} THEN '{s}'" for _, v, s in MARKERS) + " END"
     marker = "CASE " + " ".join(f"WHEN contains(lower(text), '{m}') THEN {v}" for m, v, _ in MARKERS) + " END"
     return {
+        "zip_members": """WITH d AS (SELECT 'doc-' || doc_id || '.txt' AS name, coalesce(text, '') AS text FROM documents), s AS (SELECT *, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM d)
+            SELECT name, size, size AS packed, CAST(coalesce(sum(30 + length(name) + size) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at, md5(text) AS md5 FROM s""",
         "painted_runs": """WITH r AS (SELECT l_suppkey % 40 AS y, l_orderkey, l_linenumber, l_partkey, l_partkey * 7 % 3000 AS x, l_orderkey % 97 + 1 AS n FROM lineitem),
             p AS (SELECT y, unnest(range(x, x + n)) AS px, (l_orderkey, l_linenumber, l_partkey) AS o, l_orderkey, l_linenumber FROM r),
             s AS (SELECT y, px, arg_max(l_orderkey, o) AS l_orderkey, arg_max(l_linenumber, o) AS l_linenumber FROM p GROUP BY 1, 2)

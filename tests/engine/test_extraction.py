@@ -175,10 +175,10 @@ def test_previews_and_manifest(spark, world, tmp_path):
     _, out = run(world)
     sheets = {r.record: png.decode(r.image).shape for r in X.previews(out).collect()}
     assert sheets == {"AV01Hero": (160, 576, 4), "AB02House": (160, 384, 4), "XR03Fx": (160, 768, 4)}
-    X.write_manifest(out, str(tmp_path / "m"), one_file=True)
+    X.write_one_manifest(out, str(tmp_path / "m.csv"))
     X.write_manifest(out, str(tmp_path / "parts"))
     parts = [line for f in sorted((tmp_path / "parts").glob("part*")) for line in f.read_bytes().decode().split("\r\n")[1:] if line]
-    lines = [line for f in (tmp_path / "m").glob("part*") for line in f.read_bytes().decode().split("\r\n") if line]
+    lines = [line for line in (tmp_path / "m.csv").read_bytes().decode().split("\r\n") if line]
     assert lines[0] == ",".join(X.MANIFEST) and len(lines) == 16 and lines[1].startswith("monsters/sprites,main,AV01,AV01Hero,Ignored,Stand,0,0,2,")
     assert parts == lines[1:]
     X.write_images(out, str(tmp_path / "i"))
