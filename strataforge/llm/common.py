@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,6 +101,19 @@ def running_sums(chunks: DataFrame, group: str, value: str, out: str) -> DataFra
     )
 
 
+def clear_of(spans: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Those of spans (kind, start, end) that touch none of taken; taken are merged once and searched."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in taken if b > a):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return [s for s in spans if (i := bisect_left(starts, s[2])) == 0 or ends[i - 1] <= s[1]]
+
+
 def slices(part: pd.DataFrame, size: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Rows in runs of about size characters of _text, so that memory follows text, not rows."""
     ends = np.cumsum([len(t) if t else 1 for t in part["_text"]])

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import clear_of, small_batches
 
 # The three base patterns and the least lengths of their matches.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -53,9 +53,9 @@ def brute(value: str) -> list[float]:
     return [math.log10(16 if hexa else size[kind(c)]) for c in value]
 
 
-def pieces(value: str) -> dict[int, list[tuple[int, float, str]]]:
-    """By end: (start, log10 guesses, kind) of every word, date, repeat and keyboard walk."""
-    found: dict[int, list[tuple[int, float, str]]] = {}
+def pieces(value: str) -> dict[int, list[tuple[int, float]]]:
+    """By end: (start, log10 guesses) of every word and date."""
+    found: dict[int, list[tuple[int, float]]] = {}
     low = value.lower()
     plain = low.translate(LEET)
     n = len(value)
@@ -63,39 +63,94 @@ def pieces(value: str) -> dict[int, list[tuple[int, float, str]]]:
         for i in range(n):
             for j in range(i + 3, min(n, i + 12) + 1):
                 if (rank := RANK.get(text[i:j])) is not None:
-                    found.setdefault(j, []).append((i, rank + extra + (0.3 if value[i:j] != low[i:j] else 0), "word"))
+                    found.setdefault(j, []).append((i, rank + extra + (0.3 if value[i:j] != low[i:j] else 0)))
     for i in range(n):
-        if m := DATE.match(value, i):
-            found.setdefault(m.end(), []).append((i, math.log10(366 * 120) if m.end() - i > 4 else math.log10(120), "date"))
+        if "0" <= value[i] <= "3":
+            for j in range(i + 4, min(n, i + 10) + 1):
+                if DATE.fullmatch(value, i, j):
+                    found.setdefault(j, []).append((i, math.log10(366 * 120) if j - i > 4 else math.log10(120)))
+    return found
+
+
+def stretches(value: str) -> list[tuple[int, int, int, float]]:
+    """(start, end, least length, base cost) of the longest stretches that are a keyboard walk or repeat with a period.
+
+    Each part of one that is long enough is a piece and costs the base and log10 of its length. A period of 16 at most
+    is looked for; a stretch that also repeats with a divisor of its period is given once, as the divisor's.
+    """
+    out, n, low = [], len(value), value.lower()
     i = 0
-    while i < n - 2:
+    while i < n:
         j = i + 1
         while j < n and (low[j - 1], low[j]) in STEP:
             j += 1
         if j - i >= 3:
-            for end in range(i + 3, j + 1):
-                found.setdefault(end, []).append((i, math.log10(90 * (end - i)), "walk"))
-        i = max(i + 1, j - 1)
+            out.append((i, j, 3, math.log10(90)))
+        i = j - 1 if j - i > 1 else j
+    found: set[tuple[int, int, int]] = set()
     for period in range(1, min(n // 2, 16) + 1):
-        i = 0
-        while i + 2 * period <= n:
-            j = i + period
+        i = period
+        while i < n:
+            j = i
             while j < n and value[j] == value[j - period]:
                 j += 1
-            if j - i >= 2 * period and j - i >= 3:
-                found.setdefault(j, []).append((i, min(period, 8) * math.log10(36) + math.log10(j - i), "repeat"))
-                i = j - period + 1
-            else:
-                i += 1
-    return found
+            if j - i >= period and j - i + period >= 3 and not any(period % p == 0 and (p, i - period, j) in found for p in range(1, period)):
+                found.add((period, i - period, j))
+                out.append((i - period, j, max(2 * period, 3), min(period, 8) * math.log10(36)))
+            i = j + 1
+    return out
+
+
+class Stretch:
+    """The best start of a piece that ends at a place of a stretch, for places in order.
+
+    A later start wins for a while at most: its piece is shorter, and that tells less and less as pieces grow. So starts
+    are a stack, each with the place at which the one below it takes over, and every start and end is weighed.
+    """
+
+    def __init__(self, start: int, end: int, least: int, base: float):
+        self.start, self.end, self.least, self.base = start, end, least, base
+        self.stack: list[tuple[int, float, float]] = []
+
+    def at(self, e: int, best: list[float]) -> float:
+        """Least cost of all that ends with a piece of this stretch at e; starts up to e - least are known by now."""
+        if (s := e - self.least) >= self.start:
+            self.offer(s, best[s], e)
+        while self.stack and e >= self.stack[-1][2]:
+            self.stack.pop()
+        if not self.stack:
+            return math.inf
+        s, cost, _ = self.stack[-1]
+        return cost + self.base + math.log10(e - s)
+
+    def offer(self, s: int, cost: float, e: int) -> None:
+        while self.stack and e >= self.stack[-1][2]:
+            self.stack.pop()
+        until = math.inf
+        if self.stack and cost + math.log10(e - s) >= self.stack[-1][1] + math.log10(e - self.stack[-1][0]):
+            return
+        while self.stack:
+            before, known, gives_way = self.stack[-1]
+            ratio = 10 ** min(cost - known, 300)
+            until = (ratio * s - before) / (ratio - 1) if ratio > 1 else math.inf
+            if until < gives_way:
+                break
+            self.stack.pop()  # it would give way before its turn comes
+            until = math.inf
+        self.stack.append((s, cost, until))
 
 
 def guess_cost(value: str) -> float:
     """Least log10 number of guesses over all cuts; 0 for the empty value."""
     singles, ends = brute(value), pieces(value)
+    waiting = sorted(stretches(value), reverse=True)
+    open_now: list[Stretch] = []
     best = [0.0]
     for j in range(1, len(value) + 1):
-        best.append(min([best[j - 1] + singles[j - 1], *(best[i] + cost for i, cost, _ in ends.get(j, []))]))
+        while waiting and waiting[-1][0] < j:
+            open_now.append(Stretch(*waiting.pop()))
+        open_now = [s for s in open_now if s.end >= j]
+        best.append(min([best[j - 1] + singles[j - 1], *(best[i] + cost for i, cost in ends.get(j, [])), *(s.at(j, best) for s in open_now)]))
     return best[-1]
 
 
@@ -108,14 +163,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def guess_spans(text: str, least: float, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Values in a credential's context that cost 10**least guesses or more and that no other span touches."""
-    out = []
+    found = []
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
         while b > a and text[b - 1] in ".)]}":
             b -= 1
-        if b - a >= 8 and not any(s < b and a < e for _, s, e in taken) and guess_cost(text[a:b]) >= least:
-            out.append(("guess", a, b))
-    return out
+        if b - a >= 8:
+            found.append(("guess", a, b))
+    return [s for s in clear_of(found, taken) if guess_cost(text[s[1] : s[2]]) >= least]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

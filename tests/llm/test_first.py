@@ -1,15 +1,17 @@
 """Mixing, quality, packing, secrets and GIF against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from strataforge.llm import gif, mixing, packing, quality, secrets
+from strataforge.llm import common, gif, mixing, packing, quality, secrets
 
 TOKENIZER = packing.vocabulary()
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -226,18 +228,53 @@ def test_guess_cost():
     assert found == [("guess", 5, 17)]
 
 
-def brute_cost(value):
-    singles, ends = secrets.brute(value), secrets.pieces(value)
+def piece_cost(part):
+    """Least price of a part as one piece, by its own look at the text."""
+    prices, low, n = [], part.lower(), len(part)
+    for text, extra in ((low, 0.0), (low.translate(secrets.LEET), 0.6)):
+        if text in secrets.WORDS and (extra == 0 or text != low):
+            prices.append(math.log10(secrets.WORDS.index(text) + 2) + extra + (0.3 if part != low else 0))
+    if secrets.DATE.fullmatch(part):
+        prices.append(math.log10(366 * 120) if n > 4 else math.log10(120))
+    if n >= 3 and all(any(a + b in row or b + a in row for row in secrets.ROWS) for a, b in zip(low, low[1:])):
+        prices.append(math.log10(90) + math.log10(n))
+    for p in range(1, 17):
+        if n >= max(2 * p, 3) and part == (part[:p] * n)[:n]:
+            prices.append(min(p, 8) * math.log10(36) + math.log10(n))
+    return min(prices, default=math.inf)
 
-    def least(j):
-        return 0.0 if j == 0 else min([least(j - 1) + singles[j - 1], *(least(i) + c for i, c, _ in ends.get(j, []))])
 
-    return least(len(value))
+def brute_cost(value):
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min([best[j - 1] + secrets.brute(value)[j - 1], *(best[i] + piece_cost(value[i:j]) for i in range(j))]))
+    return best[-1]
 
 
 def test_guess_cost_is_the_least():
-    for v in ("pass2020ab", "qwe111x", "secret99"):
-        assert secrets.guess_cost(v) == pytest.approx(brute_cost(v))
+    """Against every way to cut, with pieces priced apart from the module's own search."""
+    rng = random.Random(4)
+    values = ["pass2020ab", "qwe111x", "secret99", "passwordddd", "PassWordabcabcab", "p@ssw0rd19991231", "aaaaqqqwertyyy", "12341234123", "20201999", "monkeyeyeyey"]
+    values += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for letters in ("ab", "aab1", "qwer", "abcdefg19", "12", "passwordP@0") for _ in range(25)]
+    values += ["".join(rng.choice(["pass", "ddd", "abab", "1999", "qwerty", "zx9"]) for _ in range(8)) for _ in range(25)]
+    for v in values:
+        assert secrets.guess_cost(v) == pytest.approx(brute_cost(v)), v
+    assert secrets.guess_cost("passwordddd") == pytest.approx(math.log10(2) + math.log10(36) + math.log10(3))
+
+
+def test_many_spans_and_long_values_take_their_length():
+    """100,000 assignments, and a value of 200,000 characters that repeats, in seconds."""
+    start = time.time()
+    text = "token = abcdef123 pwd: Zt7QpW3nRb8K " * 100_000
+    assert len(secrets.guess_spans(text, 9.0, secrets.base_spans(text))) == 100_000
+    assert secrets.guess_cost("ab" * 100_000) == pytest.approx(math.log10(90) + math.log10(200_000))  # a walk to and fro
+    assert time.time() - start < 60
+
+
+def test_clear_of():
+    taken = [("a", 0, 3), ("b", 2, 5), ("c", 9, 10), ("d", 12, 12)]
+    spans = [("x", 5, 9), ("x", 4, 6), ("x", 8, 10), ("x", 10, 14), ("x", 0, 1), ("x", 20, 21)]
+    assert common.clear_of(spans, taken) == [spans[0], spans[3], spans[5]] and common.clear_of(spans, []) == spans
 
 
 def test_lzw_round_trip():
