@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.functions import png, records, tiles
+from strataforge.functions import png, ragged, records, tiles
 from strataforge.functions import scalars as S
 from strataforge.plans import rules as R
 
@@ -52,12 +52,28 @@ def parsed(df: DataFrame, work, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def batched(df: DataFrame, work, schema: str) -> DataFrame:
+    """work(batch of rows) gives the columns of schema, in order."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame(dict(zip(names, work(part), strict=True)))
+
+    return df.mapInPandas(run, schema)
+
+
 def record_sets(spark, sf_dir):
     """Sets of a record (id, start, end), one for each line of an order."""
     n = F.size("lines")
     pairs = F.transform("lines", lambda x, i: F.concat(le(x["l_partkey"], 4), le(24 + 8 * n + 10 * i, 4)))
     rows = orders_lines(spark, sf_dir).select("l_orderkey", F.concat(zeros(20), le(n, 4), together(pairs), zeros(10 * n)).alias("blob"))
-    return parsed(rows, lambda r: [(r.l_orderkey, i, *s) for i, s in enumerate(records.sets(r.blob))], "l_orderkey long, set_ord int, set_id long, start_at long, end_at long")
+
+    def work(part: pd.DataFrame) -> list[np.ndarray]:
+        of, *found = ragged.sets(ragged.Blobs(part["blob"].tolist()))
+        return [part["l_orderkey"].to_numpy()[of], *found]
+
+    return batched(rows, work, "l_orderkey long, set_ord int, set_id long, start_at long, end_at long")
 
 
 def record_directions(spark, sf_dir):
@@ -69,13 +85,27 @@ def record_directions(spark, sf_dir):
     per_set = orders_lines(spark, sf_dir).select("l_orderkey", "lines", F.explode(F.sequence(F.lit(0), F.expr("(size(lines) - 1) div 8").cast("int"))).alias("set_ord"))
     per_set = per_set.withColumn("lines", F.slice("lines", F.col("set_ord") * 8 + 1, F.lit(8)))
     rows = per_set.withColumn("ends", ends).select("l_orderkey", "set_ord", F.concat(zeros(0x38), together(slots), together(F.transform("lines", body))).alias("blob"))
-    return parsed(rows, lambda r: [(r.l_orderkey, r.set_ord, slot, x, y, w, h, len(found), sum(found)) for slot, x, y, w, h, found in records.directions(r.blob, 0)], "l_orderkey long, set_ord int, slot int, x int, y int, w int, h int, frames int, tiles long")
+
+    def work(part: pd.DataFrame) -> list[np.ndarray]:
+        of, slot, x, y, w, h, frame, tile = ragged.directions(ragged.Blobs(part["blob"].tolist()), np.zeros(len(part), np.int64))
+        first = np.flatnonzero(frame == 0)
+        heads = [v[first] for v in (slot, x, y, w, h)]
+        keys = [part[c].to_numpy()[of[first]] for c in ("l_orderkey", "set_ord")]
+        return [*keys, *heads, np.diff(np.append(first, len(of))), np.add.reduceat(tile, first) if len(first) else tile]
+
+    return batched(rows, work, "l_orderkey long, set_ord int, slot int, x int, y int, w int, h int, frames int, tiles long")
 
 
 def record_scan(spark, sf_dir):
     """Numbers of an interface set from where its tiles may begin."""
     rows = orders_lines(spark, sf_dir).select("l_orderkey", F.concat(zeros(80), together(F.transform("lines", lambda x: le(x["l_partkey"] + 70_000, 4)))).alias("blob"))
-    return parsed(rows, lambda r: [(r.l_orderkey, *x) for x in records.scan(r.blob, 0, len(r.blob))], "l_orderkey long, at long, number long")
+
+    def work(part: pd.DataFrame) -> list[np.ndarray]:
+        blobs = ragged.Blobs(part["blob"].tolist())
+        of, *found = ragged.scan(blobs, np.zeros(len(part), np.int64), blobs.size)
+        return [part["l_orderkey"].to_numpy()[of], *found]
+
+    return batched(rows, work, "l_orderkey long, at long, number long")
 
 
 def record_walk(spark, sf_dir):
@@ -83,12 +113,15 @@ def record_walk(spark, sf_dir):
     pairs = together(F.transform("lines", lambda x: F.concat(zeros(4), le(x["l_partkey"], 4))))
     rows = orders_lines(spark, sf_dir).select("l_orderkey", F.concat(zeros(74), le(F.size("lines"), 2), zeros(24), pairs).alias("blob"))
 
-    def work(r) -> list[tuple]:
-        want, found = records.state_walk(r.blob, 0, len(r.blob))
-        taken = records.walked(want, found, {tile: tile % 3 != 0 for _, tile in found})
-        return [(r.l_orderkey, want, ",".join(map(str, taken)))]
+    def work(part: pd.DataFrame) -> list:
+        blobs = ragged.Blobs(part["blob"].tolist())
+        want, of, at, tile = ragged.states(blobs, np.zeros(len(part), np.int64), blobs.size)
+        edges = np.searchsorted(of, np.arange(len(part) + 1))
+        pairs = [list(zip(at[a:b].tolist(), tile[a:b].tolist(), strict=True)) for a, b in zip(edges, edges[1:])]
+        taken = [records.walked(n, p, {t: t % 3 != 0 for _, t in p}) for n, p in zip(want.tolist(), pairs, strict=True)]
+        return [part["l_orderkey"].to_numpy(), want, [",".join(map(str, x)) for x in taken]]
 
-    return parsed(rows, work, "l_orderkey long, want int, taken string")
+    return batched(rows, work, "l_orderkey long, want int, taken string")
 
 
 def tile_runs(spark, sf_dir):
@@ -98,11 +131,35 @@ def tile_runs(spark, sf_dir):
     head = F.concat(le(F.lit(3), 2), le(F.lit(2), 2), le(F.lit(20), 2), zeros(20), le(F.lit(8), 4), le(12 + n[0], 4))
     rows = t(spark, sf_dir, "part").select("p_partkey", F.concat(head, line(0), line(1)).alias("tile"))
 
-    def work(r) -> list[tuple]:
-        w, h, size, found = tiles.runs(r.tile, 1)
-        return [(r.p_partkey, w, h, size, y, x, len(px), px[0]) for y, x, px in found]
+    def work(part: pd.DataFrame) -> list[np.ndarray]:
+        blobs = ragged.Blobs(part["tile"].tolist())
+        found = ragged.tile_rows(blobs, np.ones(len(part), np.int64))
+        of = found["tile"][found["row"]]
+        return [part["p_partkey"].to_numpy()[of], found["w"][of], found["h"][of], np.ones_like(of), found["y"][found["row"]], found["x"], found["n"], blobs.data[found["byte"]]]
+
+    return batched(rows, work, "p_partkey long, w int, h int, size int, y int, x int, pixels int, value int")
+
+
+def tile_row_states(spark, sf_dir):
+    """Bytes a pixel of tiles of one row, one tried before two, and why the row can't be read with each: sound rows and five kinds of broken ones."""
+    n, kind = F.col("p_size") % 7 + 2, F.col("p_partkey") % 7
+    pixels = lambda size: F.unhex(F.repeat(F.lit("07" * size), n.cast("int")))
+    run = lambda x_end, word, body: F.concat(le(x_end, 2), le(word, 2), body)
+    rows_of = [
+        run(n + 3, n + 0x8000, pixels(1)), run(n + 3, n + 0x8000, pixels(2)), run(n + 3, n, pixels(1)), run(n - 1, n + 0x8000, pixels(1)),
+        run(n + 90, n + 0x8000, pixels(1)), run(n + 3, 2 * n + 1 + 0x8000, pixels(1)), F.concat(run(n + 3, n + 0x8000, pixels(1)), zeros(1)),
+    ]
+    row = rows_of[-1]
+    for i, r in enumerate(rows_of[:-1]):
+        row = F.when(kind == i, r).otherwise(row)
+    head = F.concat(le(F.lit(3), 2), le(F.lit(1), 2), le(F.lit(50), 2), zeros(20), le(F.lit(4), 4))
+    rows = t(spark, sf_dir, "part").select("p_partkey", F.concat(head, row).alias("tile"))
+
+    def work(part: pd.DataFrame) -> list:
+        width, read = ragged.tile_widths(ragged.Blobs(part["tile"].tolist()))
+        return [part["p_partkey"].to_numpy(), width, *[np.array(ragged.ROW_STATES, object)[read[size]["state"]] for size in (1, 2)]]
 
-    return parsed(rows, work, "p_partkey long, w int, h int, size int, y int, x int, pixels int, value int")
+    return batched(rows, work, "p_partkey long, size int, as_one string, as_two string")
 
 
 def tile_draw(spark, sf_dir):
@@ -203,7 +260,7 @@ def bgr15_scale(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
-_ALL = (record_sets, record_directions, record_scan, record_walk, tile_runs, tile_draw, picture_draw, png_round_trip, catalog_parse, record_route, presentation_route, set_route, interface_fit, set_family, path_inside, bgr15_scale)
+_ALL = (record_sets, record_directions, record_scan, record_walk, tile_runs, tile_row_states, tile_draw, picture_draw, png_round_trip, catalog_parse, record_route, presentation_route, set_route, interface_fit, set_family, path_inside, bgr15_scale)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -243,6 +300,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT l_orderkey, CAST(max(n) AS INTEGER) AS want, coalesce(string_agg(CASE WHEN l_partkey % 3 <> 0 THEN CAST(l_partkey AS VARCHAR) END, ',' ORDER BY i), '') AS taken FROM l GROUP BY 1""",
         "tile_runs": """SELECT p_partkey, 20 AS w, 2 AS h, 1 AS size, CAST(y AS INTEGER) AS y, CAST(p_partkey % 9 AS INTEGER) AS x, CAST(CASE y WHEN 0 THEN p_size % 7 ELSE p_partkey % 5 END + 1 AS INTEGER) AS pixels, CAST(p_partkey % 200 + y AS INTEGER) AS value
             FROM part, range(2) AS r(y)""",
+        "tile_row_states": """WITH a AS (SELECT p_partkey, p_partkey % 7 AS k, p_size % 7 + 2 AS n FROM part)
+            SELECT p_partkey, CAST(CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS INTEGER) AS size,
+                CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'bytes after the end bit' WHEN 2 THEN 'no end bit' WHEN 3 THEN 'run starts before the row' WHEN 4 THEN 'run beyond the width'
+                    WHEN 5 THEN CASE WHEN 2 * n + 1 > n + 3 THEN 'run starts before the row' ELSE 'run beyond the row''s bytes' END ELSE 'bytes after the end bit' END AS as_one,
+                CASE k WHEN 1 THEN 'ok' WHEN 3 THEN 'run starts before the row' WHEN 4 THEN 'run beyond the width'
+                    WHEN 5 THEN CASE WHEN 2 * n + 1 > n + 3 THEN 'run starts before the row' ELSE 'run beyond the row''s bytes' END ELSE 'run beyond the row''s bytes' END AS as_two FROM a""",
         "tile_draw": f"""SELECT l_orderkey, CAST(count(*) FILTER (v <> 0) AS INTEGER) AS visible, CAST(sum({_bits('v', 11, 31)}) AS BIGINT) AS red, CAST(sum({_bits('v', 5, 63)}) AS BIGINT) AS green, CAST(sum({_bits('v', 0, 31)}) AS BIGINT) AS blue
             FROM (SELECT l_orderkey, CAST({drawn} AS BIGINT) AS v FROM lineitem) GROUP BY 1""",
         "picture_draw": f"""SELECT p_partkey, CAST(1 - k // 2 AS INTEGER) AS y, CAST(sum({_bits('v', 10, 31)}) AS BIGINT) AS red, CAST(sum({_bits('v', 5, 31)}) AS BIGINT) AS green, CAST(sum({_bits('v', 0, 31)}) AS BIGINT) AS blue
