@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def slug(text: Column) -> Column:
-    """A safe file name: trimmed, forbidden characters and white space to _, no ._- at the ends, never empty."""
-    plain = F.regexp_replace(F.regexp_replace(text, "^\\s+|\\s+$|\\x00", ""), '[<>:"/\\\\|?*\\x01-\\x1F]+', "_")
-    ends = F.regexp_replace(F.regexp_replace(plain, "\\s+", "_"), "^[._-]+|[._-]+$", "")
+    """A safe file name of ASCII letters, digits and ._-: NUL goes, runs of anything else and of spaces become _, no ._- at the ends, never empty."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\\x00", ""), "[^A-Za-z0-9._ -]+", "_"), " +", "_")
+    ends = F.regexp_replace(plain, "^[._-]+|[._-]+$", "")
     return F.coalesce(F.when(ends != "", ends), F.lit("unnamed"))
 
 

@@ -5,6 +5,8 @@ Each query's SQL computes from the columns what the bytes must hold.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -197,6 +199,22 @@ def png_round_trip(spark, sf_dir):
     return parsed(t(spark, sf_dir, "documents").select("doc_id", "text"), work, "doc_id long, width int, md5 string")
 
 
+def png_chunks(spark, sf_dir):
+    """Chunks of a PNG of each part, p_size % 9 + 1 by p_partkey % 5 + 1 pixels: tags, size in the header, checksums, and the pixel stream's length once inflated."""
+    rows = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 9 + 1).alias("w"), (F.col("p_partkey") % 5 + 1).alias("h"))
+
+    def work(r) -> list[tuple]:
+        image = np.full((r.h, r.w, 4), r.p_partkey % 256, np.uint8)
+        found = list(png.chunks(png.encode(image) + b"after the end"))
+        body = dict((tag, part) for tag, part, _ in found)
+        w, h = struct.unpack_from(">II", body[b"IHDR"])
+        stream = zlib.decompress(body[b"IDAT"])
+        sound = all(zlib.crc32(tag + part) == crc for tag, part, crc in found)
+        return [(r.p_partkey, b",".join(tag for tag, *_ in found).decode(), w, h, sound, len(stream), sum(stream) - sum(stream[:: 4 * w + 1]))]
+
+    return parsed(rows, work, "p_partkey long, tags string, w int, h int, sound boolean, stream int, samples long")
+
+
 def catalog_parse(spark, sf_dir):
     """Descriptions of a small XML file for each part."""
     number = F.col("p_partkey").cast("string")
@@ -260,7 +278,7 @@ def bgr15_scale(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
-_ALL = (record_sets, record_directions, record_scan, record_walk, tile_runs, tile_row_states, tile_draw, picture_draw, png_round_trip, catalog_parse, record_route, presentation_route, set_route, interface_fit, set_family, path_inside, bgr15_scale)
+_ALL = (record_sets, record_directions, record_scan, record_walk, tile_runs, tile_row_states, tile_draw, picture_draw, png_round_trip, png_chunks, catalog_parse, record_route, presentation_route, set_route, interface_fit, set_family, path_inside, bgr15_scale)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -312,6 +330,8 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT p_partkey, k, CAST((p_partkey * 37 + k * 1031) % 32768 AS BIGINT) AS v FROM part, range(4) AS r(k)) GROUP BY 1, 2""",
         "png_round_trip": """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents), p AS (SELECT doc_id, raw, CASE WHEN octet_length(raw) = 0 THEN 4 ELSE (4 - octet_length(raw) % 4) % 4 END AS more FROM d)
             SELECT doc_id, CAST((octet_length(raw) + more) // 4 AS INTEGER) AS width, md5(raw || encode(repeat(' ', more))) AS md5 FROM p""",
+        "png_chunks": """SELECT p_partkey, 'IHDR,IDAT,IEND' AS tags, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h, true AS sound, CAST(h * (4 * w + 1) AS INTEGER) AS stream, CAST(4 * w * h * (p_partkey % 256) AS BIGINT) AS samples
+            FROM (SELECT p_partkey, p_size % 9 + 1 AS w, p_partkey % 5 + 1 AS h FROM part)""",
         "catalog_parse": "SELECT 'AV' || p_partkey AS image_id, 'U' || p_partkey AS unit_id, 'part ' || p_partkey AS name, 'part ' || p_partkey AS description, CASE WHEN p_size % 2 = 0 THEN 'All,Monster' ELSE 'All' END AS uses FROM part",
         "record_route": f"SELECT p_partkey, {_record_rule(False)} AS some, {_record_rule(True)} AS every FROM (SELECT p_partkey, {_pick(NAMES, 'p_partkey')} || p_size AS name FROM part)",
         "presentation_route": f"""SELECT p_partkey, CASE WHEN starts_with(upper(name), 'QM') THEN 'maps/quest' WHEN starts_with(upper(name), 'MV') THEN 'cinematics' WHEN starts_with(upper(name), 'SPLH') THEN 'loading_screens' END AS category

@@ -255,7 +255,7 @@ def oracle_sql() -> dict[str, str]:
         "cap_per_group": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) <= 4",
         "even_samples": """WITH s AS (SELECT user_id, CAST(count(*) AS INTEGER) AS n, CAST(least(count(*), 12) AS INTEGER) AS k FROM events GROUP BY user_id)
             SELECT DISTINCT user_id, CAST(CASE WHEN k = 1 THEN 0 ELSE round_even(i * (n - 1) / (k - 1), 0) END AS INTEGER) AS pos FROM (SELECT *, unnest(range(k)) AS i FROM s)""",
-        "slug": r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^\s+|\s+$|\x00', '', 'g'), '[<>:"/\\|?*\x01-\x1F]+', '_', 'g'), '\s+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'unnamed') AS slug FROM pages""",
+        "slug": r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(replace(trim(url), chr(0), ''), '[^A-Za-z0-9._ -]+', '_', 'g'), '\s+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'unnamed') AS slug FROM pages""",
         "path_build": "SELECT l_orderkey, l_linenumber, l_partkey, printf('%s_dir%d_frame%03d_tile%05d.png', l_returnflag, l_linenumber, l_suppkey % 1000, l_partkey) AS path FROM lineitem",
         "bit_unpack": "SELECT event_id, (event_id * 37) & 2047 AS count, ((event_id * 37) >> 15) & 1 AS last, ((event_id * 37) >> 11) & 31 AS flags FROM events",
         "base_id": "SELECT event_id, CASE WHEN (event_id * 4096) & 65535 = 0 THEN event_id * 4096 ELSE (event_id * 4096) & 65535 END AS base FROM events",

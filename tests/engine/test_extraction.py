@@ -233,12 +233,16 @@ def test_limit_stops_decoding(world, monkeypatch):
 
 
 def test_spans_agree_with_the_renderer():
-    """Runs of a tile, the last on top, are its stored pixels."""
+    """Runs of tiles, the last on top, are their stored pixels."""
     overlapping = B.v3([[(5, [1, 1, 2, 3, 3]), (4, [7, 7]), (9, [1])], [(0, [])]], width=9)
-    version, size, clear, w, h, found = X.tiles.spans(overlapping, True)
+    dense, narrow = B.v1([[0, 0xF800], [5, 5]], wide=True), B.v3([[(2, [0x7C00, 0x001F])]], size=2)
+    of, found = X.tiles.spans_of([overlapping, b"junk", dense, narrow], [True, True, True, False])
+    rows = [dict(zip(found, values)) | {"tile": int(i)} for i, *values in zip(of.tolist(), *(v.tolist() for v in found.values()))]
     grid = {}
-    for y, x, n, value in zip(found["y"], found["x"], found["n"], found["value"]):
-        grid |= {(y, x + i): value for i in range(n)}
-    assert (version, size, clear, w, h) == (3, 1, None, 9, 2) and grid == {(0, 0): 1, (0, 1): 1, (0, 2): 7, (0, 3): 7, (0, 4): 3, (0, 8): 1}
-    dense = B.v1([[0, 0xF800], [5, 5]], wide=True)
-    assert X.tiles.spans(dense, True)[:5] == (1, 2, 255, 2, 2) and X.tiles.spans(dense, True)[5]["value"].tolist() == [0, 0xF800, 5]
+    for r in sorted((r for r in rows if r["tile"] == 0), key=lambda r: r["ord"]):
+        assert (r["version"], r["size"], r["clear"], r["w"], r["h"]) == (3, 1, -1, 9, 2)
+        grid |= {(r["y"], r["x"] + i): r["value"] for i in range(r["n"])}
+    assert grid == {(0, 0): 1, (0, 1): 1, (0, 2): 7, (0, 3): 7, (0, 4): 3, (0, 8): 1}
+    assert [(r["y"], r["x"], r["n"], r["value"], r["size"], r["clear"]) for r in rows if r["tile"] == 2] == [(0, 0, 1, 0, 2, 255), (0, 1, 1, 0xF800, 2, 255), (1, 0, 2, 5, 2, 255)]
+    assert [(r["x"], r["value"], r["w"]) for r in rows if r["tile"] == 3] == [(0, 0x7C00, 2), (1, 0x1F, 2)]
+    assert {r["tile"] for r in rows} == {0, 2, 3}

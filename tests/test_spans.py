@@ -113,8 +113,7 @@ def test_stages(spark):
 def test_spans_of_tiles():
     import numpy as np
 
-    assert tiles.spans(b"", True)[5]["n"].tolist() == [] and tiles.spans(b"\x03\x00" + bytes(40), True)[5]["n"].tolist() == []
-    of, found = tiles.spans_of([b"", b"junk"], [True, False])
+    of, found = tiles.spans_of([b"", b"junk", b"\x03\x00" + bytes(40), b"\x01\x00" + bytes(40)], [True, False, True, True])
     assert len(of) == 0 and all(len(v) == 0 for v in found.values())
     first, n = tiles.equal_runs(np.array([1, 1, 2, 2, 2, 2]), 3)
     assert first.tolist() == [0, 2, 3] and n.tolist() == [2, 1, 3]
