@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from .common import stage, unstage
 
 
-def star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large: ties each larger neighbour to the smallest of a node's neighbourhood; small: each smaller one.
+def star(edges: DataFrame, large: bool, name: str) -> DataFrame:
+    """Edges, staged. Large: ties each larger neighbour to the smallest of a node's neighbourhood; small: each smaller one.
 
-    The neighbourhood's minimum is an aggregate with partial sums and joins back, so a hub's edges stay spread out.
+    The neighbourhood's minimum is an aggregate with partial sums. It is written before it joins back, so that both sides
+    of the join are dealt anew and Spark can split a hub's edges.
     """
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{name}-least")
     tied = both.join(least, "a")
     keep = F.col("b") > F.col("a") if large else F.lit(True)
     out = tied.where(keep).select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         out = out.union(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    done = stage(out.where("a <> b").distinct(), name)
+    unstage(least)
+    return done
 
 
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -31,8 +34,10 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     for _ in range(most_rounds):
-        last, edges = edges, stage(star(star(edges, True), False), name)
-        unstage(last)
+        large = star(edges, True, name)
+        unstage(edges)
+        edges = star(large, False, name)
+        unstage(large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -274,9 +274,10 @@ def with_components(docs: DataFrame, id_col: str, text_col: str, words: int, per
         of_id = flat.where("n > 0").join(repeated, "doc_id").join(classes.select("c", "n", "sig_a", "sig_b"), ["n", "sig_a", "sig_b"]).select("doc_id", "c")
         settle(of_id.join(of_id.groupBy("doc_id").agg(F.min("c").alias("a")), "doc_id").select("a", F.col("c").alias("b")).where("a <> b").distinct())
 
-    hubs = bands.groupBy("h").agg(F.min("c").alias("hub"), F.count("*").alias("m")).where("m > 1").select("h", "hub")
+    # Both sides are written, so that the rows of a band that a common passage fills can be split.
+    hubs = stage(bands.groupBy("h").agg(F.min("c").alias("hub"), F.count("*").alias("m")).where("m > 1").select("h", "hub"), "near-hubs")
     shared = stage(bands.join(hubs, "h"), "near-shared")
-    unstage(bands)
+    unstage(bands, hubs)
     met = shared.where("c <> hub").groupBy(F.col("c").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
     pairs = stage(estimated(met, classes, percent), "near-pairs")
     keys = classes.select("c", "rep", "t")
@@ -301,6 +302,7 @@ def with_components(docs: DataFrame, id_col: str, text_col: str, words: int, per
     unstage(shared, open_, ties)
     where = classes.join(comps, classes["c"] == comps["id"], "left").select("n", "sig_a", "sig_b", "rep", F.coalesce("component", "c").alias("comp"))
     where = where.join(where.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("n", "sig_a", "sig_b", "component_id")
+    where = stage(where, "near-where")  # copies of one text may be many: written, they can be split
     out = flat.select("doc_id", "t", "n", "sig_a", "sig_b").join(where, ["n", "sig_a", "sig_b"], "left")
     return out.select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -334,5 +336,6 @@ def keep_first(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFra
     again = keys(flat.groupBy("doc_id", "t").agg(F.count("*").alias("m")).where("m > 1"), "near-again")
     if again.isEmpty():
         return kept
-    first = kept.join(again, key, "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))).where("_row = 1")
+    same = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # rows that differ in order of their columns
+    first = kept.join(again, key, "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*same))).where("_row = 1")
     return kept.join(again, key, "left_anti").union(first.select(*docs.columns))

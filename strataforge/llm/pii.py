@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import clear_of, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Spans that only the network found carry these kinds.
@@ -405,7 +405,7 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int
     out = []
     for text, more in zip(texts, model_spans(texts, tagger), strict=True):
         base = base_spans(text)
-        new = [(f"model-{k}", a, b) for k, a, b in more if not any(s < b and a < e for _, s, e in base)]
+        new = [(f"model-{k}", a, b) for k, a, b in clear_of(more, base)]
         out.append(sorted(base + new, key=lambda s: (ORDER[s[0]], s[1])))
     return out
 
