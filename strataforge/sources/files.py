@@ -117,7 +117,10 @@ class FilesWriter(DataSourceWriter):
 
     def abort(self, messages: list[Wrote | None]) -> None:
         if self.system.get_file_info(self.job).type != fs.FileType.NotFound:
-            self.system.delete_dir(self.job)
+            # Tasks may still write: once the folder has another name they find none, and deleting meets no new files.
+            gone = f"{self.job}-aborted"
+            self.system.move(self.job, gone)
+            self.system.delete_dir(gone)
 
 
 class FilesSink(DataSource):
