@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--files", action="store_true", help="also one PNG file for each manifest path, under files/")
     p.add_argument("--one-manifest", action="store_true", help="also the manifest as one CSV file, manifest.csv; --out must be mounted")
     p.add_argument("--zip", action="store_true", help="also all images as one file, images.zip; --out must be mounted")
+    p.add_argument("--decoder", metavar="MODULE:FUNCTION", help="reads moving pictures: (bytes, frame numbers) to RGBA arrays; without it they are left out")
     p.add_argument("--yes", action="store_true", help="replace what an earlier run wrote")
     return p
 
@@ -83,8 +85,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
         files = one if files is None else files.union(one)
     known = extraction.catalog(files if files is not None else spark.createDataFrame([], "file_ord int, kind string, source_xml string, xml string"))
 
+    decoder = None
+    if o.decoder:
+        module, _, function = o.decoder.partition(":")
+        decoder = getattr(importlib.import_module(module), function)
+
     save = "overwrite" if o.yes else "errorifexists"
-    extraction.extract(rows, sources, names, curated, known, mode=mode, limit=o.limit).write.mode(save).parquet(f"{o.out}/rows")
+    extraction.extract(rows, sources, names, curated, known, mode=mode, limit=o.limit, decoder=decoder).write.mode(save).parquet(f"{o.out}/rows")
     safety.mark(o.out)
     done = spark.read.parquet(f"{o.out}/rows")
     extraction.write_manifest(done, f"{o.out}/manifest", save)
@@ -94,6 +101,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
         extraction.write_image_archive(done, f"{o.out}/images.zip")
     extraction.write_images(done, f"{o.out}/images", save)
     extraction.previews(done).write.mode(save).parquet(f"{o.out}/previews")
+    if decoder:
+        extraction.presentation_sheets(done).write.mode(save).parquet(f"{o.out}/presentations")
     if o.files:
         extraction.write_files(done, f"{o.out}/files", o.yes)
     counts = {"images": done.count(), "records": done.select(F.slice("row_ord", 1, 3)).distinct().count()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataforge.functions import scalars as S
 from strataforge.operators import idioms as I
 from strataforge.operators import spans
-from strataforge.plans import archive_queries, binary_queries, run_queries, world_queries
+from strataforge.plans import archive_queries, binary_queries, raster_queries, run_queries, world_queries
 
 BRANDS = {"Brand#11": "heroes/melee", "Brand#22": "heroes/ranged", "Brand#33": "buildings/main", "Brand#44": "icons/misc"}
 NAMED_SIZES = {1: "Stand", 2: "Walk", 3: "Attack", 5: "Die"}
@@ -230,7 +230,7 @@ _ALL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL} | binary_queries.queries() | archive_queries.queries() | run_queries.queries() | world_queries.queries()
+    return {f.__name__: f for f in _ALL} | binary_queries.queries() | archive_queries.queries() | run_queries.queries() | raster_queries.queries() | world_queries.queries()
 
 
 _CATEGORY = "coalesce(CASE p_brand " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BRANDS.items()) + " END, CASE WHEN p_name LIKE 's%' THEN 'sprites/small' WHEN p_name LIKE 'b%' THEN 'sprites/big' END)"
@@ -241,7 +241,7 @@ runs AS (SELECT user_id, event_type, CAST(min(pos) AS BIGINT) AS start, CAST(cou
 
 
 def oracle_sql() -> dict[str, str]:
-    return binary_queries.oracle_sql() | archive_queries.oracle_sql() | run_queries.oracle_sql() | world_queries.oracle_sql() | {
+    return binary_queries.oracle_sql() | archive_queries.oracle_sql() | run_queries.oracle_sql() | raster_queries.oracle_sql() | world_queries.oracle_sql() | {
         "catalog_classify": f"SELECT * FROM (SELECT p_partkey, {_CATEGORY} AS category FROM part) WHERE category IS NOT NULL",
         "catalog_last_wins": "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL",
         "first_seen_dedup": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL",
