@@ -3,6 +3,9 @@
 The guess cost of a value is the least sum, over all ways to cut it into words, dates, repeats, keyboard walks and
 brute-force runs, of each piece's log10 number of guesses. A value that no cheap cut explains was made by a machine or
 a careful person: it is a secret. One that a cheap cut explains is a placeholder.
+
+Words are a short list of those that people put into passwords, and the commonest words of the documents themselves;
+each is priced by its rank in its list, the lower price counts.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import clear_of, small_batches
 
@@ -53,7 +57,33 @@ def brute(value: str) -> list[float]:
     return [math.log10(16 if hexa else size[kind(c)]) for c in value]
 
 
-def pieces(value: str) -> dict[int, list[tuple[int, float]]]:
+#: A word of the documents: letters alone between white space, quotes, brackets and marks, so that no part of a key is one.
+PLAIN_WORD = r"(?<![^\s\"'(\[])\p{L}{3,24}(?![^\s.,;:!?)\]\"'])"
+LONGEST = 24
+
+
+def common_words(docs: DataFrame, text_col: str = "text", most: int = 1 << 16) -> list[str]:
+    """The words that most texts hold, commonest first, ties in alphabetical order; at most `most` of at most LONGEST letters.
+
+    All texts are counted whole, a word once a text, values in a credential's context apart. A word that only copies of one
+    text hold is none: it may be a secret that was copied with it (texts are told apart by 15 bits of a hash here). Null and
+    empty texts hold no word.
+    """
+    text = F.regexp_replace("_text", CONTEXT.pattern.replace("(?ai:", "(?i:"), " ")
+    rows = docs.select(docs[text_col].alias("_text")).select(F.pmod(F.xxhash64("_text"), F.lit(1 << 15)).cast("short").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(PLAIN_WORD), 0))).alias("word"))
+    counted = rows.groupBy("word").agg(F.count(F.lit(1)).alias("texts"), F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
+    return [r.word for r in counted.orderBy(F.desc("texts"), "word").limit(most).select("word").collect()]
+
+
+def ranked(words: list[str]) -> dict[str, float]:
+    """Word to price: log10 of its rank, counted from 2, in the built-in list or in words, whichever is less."""
+    out = dict(RANK)
+    for i, w in enumerate(words):
+        out[w] = min(math.log10(i + 2), out.get(w, math.inf))
+    return out
+
+
+def pieces(value: str, rank: dict[str, float] = RANK) -> dict[int, list[tuple[int, float]]]:
     """By end: (start, log10 guesses) of every word and date."""
     found: dict[int, list[tuple[int, float]]] = {}
     low = value.lower()
@@ -61,9 +91,9 @@ def pieces(value: str) -> dict[int, list[tuple[int, float]]]:
     n = len(value)
     for text, extra in ((low, 0.0), (plain, 0.6)) if plain != low else ((low, 0.0),):
         for i in range(n):
-            for j in range(i + 3, min(n, i + 12) + 1):
-                if (rank := RANK.get(text[i:j])) is not None:
-                    found.setdefault(j, []).append((i, rank + extra + (0.3 if value[i:j] != low[i:j] else 0)))
+            for j in range(i + 3, min(n, i + LONGEST) + 1):
+                if (price := rank.get(text[i:j])) is not None:
+                    found.setdefault(j, []).append((i, price + extra + (0.3 if value[i:j] != low[i:j] else 0)))
     for i in range(n):
         if "0" <= value[i] <= "3":
             for j in range(i + 4, min(n, i + 10) + 1):
@@ -140,9 +170,9 @@ class Stretch:
         self.stack.append((s, cost, until))
 
 
-def guess_cost(value: str) -> float:
-    """Least log10 number of guesses over all cuts; 0 for the empty value."""
-    singles, ends = brute(value), pieces(value)
+def guess_cost(value: str, rank: dict[str, float] = RANK) -> float:
+    """Least log10 number of guesses over all cuts; 0 for the empty value. rank: the prices of words."""
+    singles, ends = brute(value), pieces(value, rank)
     waiting = sorted(stretches(value), reverse=True)
     open_now: list[Stretch] = []
     best = [0.0]
@@ -161,7 +191,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX_RUN.finditer(text)]
 
 
-def guess_spans(text: str, least: float, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+def guess_spans(text: str, least: float, taken: list[tuple[str, int, int]], rank: dict[str, float] = RANK) -> list[tuple[str, int, int]]:
     """Values in a credential's context that cost 10**least guesses or more and that no other span touches."""
     found = []
     for m in CONTEXT.finditer(text):
@@ -170,16 +200,18 @@ def guess_spans(text: str, least: float, taken: list[tuple[str, int, int]]) -> l
             b -= 1
         if b - a >= 8:
             found.append(("guess", a, b))
-    return [s for s in clear_of(found, taken) if guess_cost(text[s[1] : s[2]]) >= least]
+    return [s for s in clear_of(found, taken) if guess_cost(text[s[1] : s[2]], rank) >= least]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]))))
 
 
-def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 9.0) -> DataFrame:
+def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 9.0, words: int = 1 << 16) -> DataFrame:
     """Per row: doc_id, spans (array of kind, start, end, text, and log10 guesses), code points, end exclusive.
 
+    words bounds the list that is learnt from the documents and sent to all tasks (24 letters a word at most); 0: none.
+
     Null and empty texts have no spans. Repeated rows give equal rows; an empty table an empty one; other columns are
     ignored.
     """
@@ -187,17 +219,20 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, spans array<struct<kind:string,start:int,end:int,value:string,cost:double>>"
 
+    learnt = docs.sparkSession.sparkContext.broadcast(ranked(common_words(docs, text_col, words) if words else []))
+
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rank = learnt.value
         for part in parts:
             column = []
             for text in part["_text"]:
                 text = text or ""
                 spans = base_spans(text)
-                spans = sorted(spans + guess_spans(text, least, spans), key=lambda s: (s[1], KINDS.index(s[0])))
+                spans = sorted(spans + guess_spans(text, least, spans, rank), key=lambda s: (s[1], KINDS.index(s[0])))
                 row = []
                 for k, a, b in spans:
                     value = ASSIGN.match(text, a)[2] if k == "assign" else text[a:b]
-                    row.append({"kind": k, "start": a, "end": b, "value": text[a:b], "cost": guess_cost(value)})
+                    row.append({"kind": k, "start": a, "end": b, "value": text[a:b], "cost": guess_cost(value, rank)})
                 column.append(row)
             yield pd.DataFrame({"doc_id": part["_id"], "spans": column})
 

@@ -262,6 +262,31 @@ def test_guess_cost_is_the_least():
     assert secrets.guess_cost("passwordddd") == pytest.approx(math.log10(2) + math.log10(36) + math.log10(3))
 
 
+def test_words_of_the_documents_are_no_secrets(spark, empty):
+    """Precision and recall on planted values: ordinary words after a credential's name, and made values."""
+    rng = random.Random(3)
+    plain = ["documentation", "international", "authentication", "extraordinary", "straightforward"]
+    said = ["login: documentation", "the token is international", "auth: authentication", "the pass is extraordinary", "his login is straightforward"]
+    signs = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    made = ["".join(rng.choice(signs) for _ in range(12)) for _ in range(40)] + ["".join(rng.choice(signs[:24]) for _ in range(14)) for _ in range(40)]
+    texts = [f"About {a} and ({b}), no more" for a, b in zip(plain, plain[1:] + plain[:1])] + said + [f"auth: {m}" for m in made] + [f"auth: {made[0]} too", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r.doc_id: [s["kind"] for s in r.spans] for r in secrets.find_secrets(docs).collect()}
+    assert not any(found[i] for i in range(10))
+    assert sum(found[i] == ["guess"] for i in range(10, 90)) == 80 and found[90] == ["guess"]
+    bare = {r.doc_id: len(r.spans) for r in secrets.find_secrets(docs, words=0).collect()}
+    assert sum(bare[i] for i in range(5, 10)) == 5
+    words = re.compile(r"""(?<![^\s"'(\[])[^\W\d_]{3,24}(?![^\s.,;:!?)\]"'])""")
+    holds = defaultdict(set)
+    for i, t in enumerate(texts):
+        for w in words.findall(secrets.CONTEXT.sub(" ", t or "").lower()):
+            holds[w].add(i)
+    want = sorted((w for w in holds if len(holds[w]) > 1), key=lambda w: (-len(holds[w]), w))
+    assert secrets.common_words(docs) == want and secrets.common_words(docs, most=3) == want[:3]
+    copied = spark.createDataFrame([(i, "said abcdefxyzuvw") for i in range(5)] + [(9, "pwd: said"), (8, "pwd: saidsaid so"), (7, "pwd: saidsaid")], "doc_id int, text string")
+    assert secrets.common_words(copied) == ["said"] and secrets.common_words(empty) == []
+
+
 def test_many_spans_and_long_values_take_their_length():
     """100,000 assignments, and a value of 200,000 characters that repeats, in seconds."""
     start = time.time()
