@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_of, small_batches
+from .common import clear_of, small_batches, sorted_chunks, stage, unstage
 
 # The three base patterns and the least lengths of their matches.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -72,7 +72,17 @@ def common_words(docs: DataFrame, text_col: str = "text", most: int = 1 << 16) -
     text = F.regexp_replace("_text", CONTEXT.pattern.replace("(?ai:", "(?i:"), " ")
     rows = docs.select(docs[text_col].alias("_text")).select(F.pmod(F.xxhash64("_text"), F.lit(1 << 15)).cast("short").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(PLAIN_WORD), 0))).alias("word"))
     counted = rows.groupBy("word").agg(F.count(F.lit(1)).alias("texts"), F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
-    return [r.word for r in counted.orderBy(F.desc("texts"), "word").limit(most).select("word").collect()]
+    counted = stage(counted.select("word", (-F.col("texts")).alias("rank")), "words")
+    chunks = sorted_chunks(counted, ["rank", "word"], "words-sorted")
+    first, left = F.lit(True), most  # a limit would send so many words of every task to the driver
+    for chunk, size in sorted(map(tuple, chunks.groupBy("_chunk").count().collect())):
+        if size >= left:
+            first = (F.col("_chunk") < chunk) | ((F.col("_chunk") == chunk) & (F.col("_pos") < left))
+            break
+        left -= size
+    words = [r.word for r in chunks.where(first).sort("rank", "word").collect()]
+    unstage(counted, chunks)
+    return words
 
 
 def ranked(words: list[str]) -> dict[str, float]:
