@@ -45,89 +45,123 @@ def code_widths(bits: int, n: int) -> np.ndarray:
     return np.minimum(12, np.floor(np.log2(np.maximum((1 << bits) + 1 + j, 1))).astype(np.int64) + 1).astype(np.int64)
 
 
+@functools.cache
+def pair_table() -> list[int]:
+    """The encoder's table by code << 8 | sample, all zero between two calls: one for each worker."""
+    return [0] * (FULL << 8)
+
+
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     """GIF's LZW code stream, with a clear code at the start and wherever the table is full."""
-    clear, most = 1 << bits, FULL - (1 << bits) - 3
-    codes, parts = [], [[clear]]
-    pairs: dict[int, int] = {}
+    clear = 1 << bits
+    # Codes are kept shifted by 8; pairs holds, for each table, the pair that ended each code.
+    start, stop = clear + 2 << 8, FULL - 1 << 8
+    parts, pairs = [[clear]], []
+    table = pair_table()
     it = iter(data)
     w = next(it, None)
-    if w is not None:
-        get, append, free = pairs.get, codes.append, clear + 2
-        for c in it:
-            k = w << 8 | c
-            x = get(k)
-            if x is not None:
-                w = x
-            else:
-                append(w)
-                pairs[k] = free
-                free += 1
-                w = c
-                if len(codes) == most:
-                    append(clear)
-                    parts.append(codes)
-                    codes, free = [], clear + 2
-                    pairs.clear()
-                    append = codes.append
-        append(w)
-    codes.append(clear + 1)
-    parts.append(codes)
-    streams = []
-    for part in parts:
-        width = code_widths(bits, FULL)[: len(part)]
-        grid = np.unpackbits(np.array(part, "<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
-        streams.append(grid[np.arange(16) < width[:, None]])
-    return np.packbits(np.concatenate(streams), bitorder="little").tobytes()
-
-
-def lzw_decode(stream: bytes, bits: int, size: int) -> bytes:
-    """The samples of a code stream, size at most; ValueError for a code that can't be there."""
-    flags = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
-    flags = np.concatenate([flags, np.zeros(16, np.uint8)])
+    if w is None:
+        parts.append([clear + 1])
+    else:
+        append, free = pairs.append, start
+        w <<= 8
+        try:
+            for c in it:
+                k = w | c
+                x = table[k]
+                if x:
+                    w = x
+                else:
+                    append(k)
+                    table[k] = free
+                    free += 256
+                    w = c << 8
+                    if free == stop:
+                        parts.append(np.append(np.array(pairs) >> 8, clear))
+                        for k in pairs:
+                            table[k] = 0
+                        pairs.clear()
+                        free = start
+        finally:
+            for k in pairs:
+                table[k] = 0
+        parts.append(np.append(np.array(pairs, np.int64) >> 8, (w >> 8, clear + 1)))
+    width = np.concatenate([code_widths(bits, FULL)[: len(part)] for part in parts])
+    grid = np.unpackbits(np.concatenate(parts).astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(grid[np.arange(16) < width[:, None]], bitorder="little").tobytes()
+
+
+def lzw_codes(stream: bytes, bits: int) -> Iterator[np.ndarray]:
+    """The codes of each table of a code stream, without clear and end codes."""
+    raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     have, at, clear = len(stream) * 8, 0, 1 << bits
-    out: list[bytes] = []
-    made = 0
-    roots = [bytes([i]) for i in range(clear)] + [b"", b""]
-    words, prev, seen = list(roots), b"", 0  # seen: codes since the last clear code
-    while made < size:
+    found: list[np.ndarray] = []
+    seen = 0  # codes since the last clear code
+    while True:
         width = code_widths(bits, 2 * FULL)[min(seen, FULL) : min(seen, FULL) + FULL]
         ends = at + np.cumsum(width)
-        width = width[ends <= have]
-        if not len(width):
+        n = int(np.searchsorted(ends, have, "right"))
+        if not n:
             break
-        starts = ends[: len(width)] - width
-        codes = np.zeros(len(width), np.int64)
-        for i in range(12):
-            codes |= np.where(i < width, flags[starts + i], 0).astype(np.int64) << i
+        width, ends = width[:n], ends[:n]
+        starts = ends - width
+        i = starts >> 3
+        codes = (raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16) >> (starts & 7) & (1 << width) - 1
         stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
-        stop = int(stops[0]) if len(stops) else len(codes)
-        n, before = len(words), len(out)
-        for c in codes[:stop].tolist():
-            if c < n:
-                word = words[c]
-            elif c == n and prev:
-                word = prev + prev[:1]
-            else:
-                raise ValueError(f"LZW code {c} of {n}")
-            out.append(word)
-            if prev and n < FULL:
-                words.append(prev + word[:1])
-                n += 1
-            prev = word
-        made += sum(map(len, out[before:]))
-        if stop == len(codes):
-            at, seen = int(ends[len(width) - 1]), seen + stop
+        if not len(stops):
+            found.append(codes)
+            at, seen = int(ends[-1]), seen + n
             continue
-        at = int(ends[stop])
+        stop = int(stops[0])
+        found.append(codes[:stop])
+        yield np.concatenate(found)
         if codes[stop] == clear + 1:
+            return
+        at, seen, found = int(ends[stop]), 0, []
+    if found:
+        yield np.concatenate(found)
+
+
+def lzw_decode(stream: bytes, bits: int, size: int) -> bytes:
+    """The samples of a code stream, size at most; ValueError for a code that can't be there.
+
+    The table's j-th own entry is what the j-th code since the clear code stands for and the sample after it. So each
+    sample is either a code of its own or stands earlier in the output, and pointers to it are followed in doubled steps.
+    """
+    first, out, made = (1 << bits) + 2, [], 0
+    for codes in lzw_codes(stream, bits):
+        if made >= size:
             break
-        words, prev, seen = list(roots), b"", 0
+        at = np.arange(len(codes))
+        own = codes < first
+        entry = np.where(own, at, codes - first)
+        bad = np.flatnonzero(~own & (entry >= at))
+        if len(bad):
+            raise ValueError(f"LZW code {codes[bad[0]]} of {min(FULL, first + max(0, int(bad[0]) - 1))}")
+        length, up = np.where(own, 0, 1), entry
+        while (more := length[up]).any():
+            length = length + more
+            up = up[up]
+        length += 1
+        ends = np.cumsum(length)
+        n = min(len(codes), int(np.searchsorted(ends, size - made)) + 1)
+        length, begin = length[:n], ends[:n] - length[:n]
+        place = np.arange(ends[n - 1] if n else 0)
+        source = place + np.repeat(begin[entry[:n]] - begin, length)
+        while not np.array_equal(further := source[source], source):
+            source = further
+        samples = np.zeros(len(place), np.uint8)
+        samples[begin] = codes[:n] & 0xFF
+        out.append(samples[source].tobytes())
+        made += len(place)
     return b"".join(out)[:size]
 
 
+@functools.cache
 def grey_palette() -> np.ndarray:
-    return np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+    grey = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+    grey.setflags(write=False)
+    return grey
 
 
 def encode_gif(samples: bytes, width: int, *, rows: int = 64, delay_ms: int = 100, palette: np.ndarray | None = None) -> bytes:
@@ -210,9 +244,12 @@ def _frames(data: bytes, render: bool) -> list[Frame]:
                 before = canvas.copy() if disposal == 3 else None
                 view = canvas[top : top + h, left : left + w]
                 part = samples[: view.shape[0], : view.shape[1]]
-                shown = np.ones(part.shape, bool) if clear_index is None else part != clear_index
-                view[shown, :3] = own[part[shown]]
-                view[shown, 3] = 255
+                shades = np.append(own, np.full((256, 1), 255, np.uint8), axis=1)
+                if clear_index is None:
+                    view[:] = shades.take(part, axis=0)
+                else:
+                    shown = part != clear_index
+                    view[shown] = shades[part[shown]]
                 frame.canvas = canvas.copy()
                 if disposal == 2:
                     view[:] = 0
@@ -233,8 +270,8 @@ def histogram(frame: Frame, bins: int = 16) -> np.ndarray:
     shown = frame.canvas[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width].reshape(-1, 4)
     if not shown[:, 3].all():
         shown = shown[shown[:, 3] > 0]
-    level = shown[:, :3].astype(np.int64) * bins >> 8
-    return np.concatenate([np.bincount(level[:, i], minlength=bins) for i in range(3)])
+    first = -(-np.arange(bins) * 256 // bins)  # the least shade of each bin
+    return np.concatenate([np.add.reduceat(np.bincount(shown[:, i], minlength=256), first) for i in range(3)])
 
 
 def frame_table(df: DataFrame, media_col: str, id_col: str) -> DataFrame:
