@@ -6,8 +6,8 @@ import numpy as np
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -49,7 +49,7 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     flat = _LOWER[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
     ends_of_text = np.cumsum([len(r) + 1 for r in raw])
-    inside = ~_SPACE[flat]
+    inside = ~SPACE[flat]
     edge = np.diff(inside.astype(np.int8), prepend=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     return hash_spans(flat, starts, ends), ends - starts, np.searchsorted(ends_of_text, starts, side="right")

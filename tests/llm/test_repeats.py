@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -89,3 +90,35 @@ def test_removal_over_chunk_edges(spark, monkeypatch):
     texts += [texts[0][600:1300] + texts[1][:900]]
     want = compare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 400)
     assert want[2][1] == 0 and want[0][1] > 0
+
+
+def brute_passages(texts, words=51):
+    """Words of each text in runs of 51 words that another row holds too."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    holders = defaultdict(set)
+    for i, w in enumerate(split):
+        for at in range(len(w) - words + 1):
+            holders[tuple(w[at : at + words])].add(i)
+    out = []
+    for w in split:
+        found = [at for at in range(len(w) - words + 1) if len(holders[tuple(w[at : at + words])]) > 1]
+        out.append(len({x for at in found for x in range(at, at + words)}))
+    return out
+
+
+def test_passages_of_words(spark, documents):
+    """Passages of over 50 words in two documents are told, even those that 400 bytes leave; one document's own repeats are not."""
+    rng = random.Random(7)
+    words = lambda n: [rng.choice("abcdefg") * rng.randint(1, 4) + rng.choice("xyz") for _ in range(n)]
+    passages = [words(n) for n in (50, 51, 52, 58, 60, 90, 200)]
+    texts = [words(rng.randrange(120)) + p + words(rng.randrange(120)) for p in passages for _ in range(3)]
+    texts += [w := words(70), w, v := words(50), v, (u := words(60)) + words(9) + u + words(30) + u, passages[5][:55] + words(5) + passages[5][3:56], words(51)]
+    # One text's two equal passages, which end unlike, one of them as in another text.
+    texts += [(p := words(80)) + words(40) + p[:70] + words(40), words(30) + p[:75] + words(9), words(4) + p[5:60]]
+    texts = [rng.choice((" ", "\n", " \t")).join(t) for t in texts] + ["ab " * 400, "ab " * 60 + "q", "q " + "ab " * 51]
+    texts += [r.text for r in documents.limit(150).collect()]
+    got = {r.doc_id: (r.n_passage_words, r.n_removed) for r in repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute_passages(texts)
+    assert [got[i][0] for i in range(len(texts))] == want
+    assert want[3:6] == [51] * 3 and want[:3] == [0] * 3 and want[21:26] == [70, 70, 0, 0, 0]
+    assert any(w and not got[i][1] for i, w in enumerate(want))
