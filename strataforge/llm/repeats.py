@@ -64,11 +64,20 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def word_units(raw: bytes) -> np.ndarray:
-    """A hash of each word of a text."""
+    """A hash of each word of a text, chunk by chunk; no chunk ends inside a word."""
     flat = np.frombuffer(raw, np.uint8)
-    edge = np.diff(~SPACE[flat], prepend=False, append=False)
-    at = np.flatnonzero(edge)
-    return Rolling(flat).of(at[::2], at[1::2])
+    found, at = [np.zeros(0, U)], 0
+    while at < len(flat):
+        end = at + CHUNK
+        if end < len(flat):
+            gaps = np.flatnonzero(SPACE[flat[at:end]])
+            after = SPACE[flat[end:]] if not len(gaps) else None
+            end = at + int(gaps[-1]) + 1 if len(gaps) else end + int(after.argmax()) if after.any() else len(flat)
+        part = flat[at:end]
+        edges = np.flatnonzero(np.diff(~SPACE[part], prepend=False, append=False))
+        found.append(Rolling(part).of(edges[::2], edges[1::2]))
+        at = end
+    return np.concatenate(found)
 
 
 def pieces(flat: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:

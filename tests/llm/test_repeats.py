@@ -122,3 +122,14 @@ def test_passages_of_words(spark, documents):
     assert [got[i][0] for i in range(len(texts))] == want
     assert want[3:6] == [51] * 3 and want[:3] == [0] * 3 and want[21:26] == [70, 70, 0, 0, 0]
     assert any(w and not got[i][1] for i, w in enumerate(want))
+
+
+def test_word_units_in_chunks(monkeypatch):
+    """No chunk cuts a word, even one longer than a chunk."""
+    rng = random.Random(4)
+    raw = " ".join("".join(rng.choice("abé") for _ in range(rng.choice((1, 5, 40, 900)))) for _ in range(300)).encode()
+    cases = [raw, raw + b"\n", b" \t" + raw, b"x" * 2500, b" " * 1500, b"", raw[:701]]
+    whole = [repeats.word_units(c).tolist() for c in cases]
+    monkeypatch.setattr(repeats, "CHUNK", 700)
+    assert [repeats.word_units(c).tolist() for c in cases] == whole
+    assert [len(x) for x in whole] == [len(c.split()) for c in cases]
