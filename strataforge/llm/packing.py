@@ -10,6 +10,7 @@ their length (distributed) and join the pattern that holds their number.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 import zlib
@@ -73,6 +74,42 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, i
     return out
 
 
+class Words:
+    """Ids of words by the words' hashes, in sorted arrays: some 40 bytes a word, where a dictionary took some 200."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def clear(self) -> None:
+        self.hashes, self.pool = np.zeros(0, np.uint64), np.zeros(0, "<u4")
+        self.first, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that are not known."""
+        if not len(self):
+            return np.arange(len(hashes))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+        return np.flatnonzero(self.hashes[at] != hashes)
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """hashes are sorted and new."""
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        first = len(self.pool) + np.cumsum(sizes) - sizes
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.first, self.sizes = (np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.first, first), (self.sizes, sizes)))
+        self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), "<u4"))
+
+    def ids(self, hashes: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words hashes[back], one after another, and where each word's end."""
+        at = np.searchsorted(self.hashes, hashes)[back]
+        n = self.sizes[at]
+        done = np.cumsum(n)
+        return self.pool[np.repeat(self.first[at] - (done - n), n) + np.arange(int(n.sum()))], done
+
+
 def tokenizer(path: str) -> tuple:
     """The vocabulary at path, which of its ids end a word, and the words encoded so far: once in each worker process.
 
@@ -86,7 +123,7 @@ def tokenizer(path: str) -> tuple:
         vocabulary = model.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        kept[path] = (model, ends, {})
+        kept[path] = (model, ends, Words())
     return kept[path]
 
 
@@ -96,6 +133,7 @@ _FLAT = np.arange(256, dtype=np.uint8)
 _FLAT[ord("A") : ord("Z") + 1] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+ANY_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = True
 _STOP = np.zeros(256, bool)
@@ -143,39 +181,50 @@ def fenced(model, words: list[str]) -> list[bytes]:
     return [ids[a:b].tobytes() for a, b in zip([0, *(edge[:-1] + len(fence)).tolist()], edge.tolist(), strict=True)]
 
 
-def encode_texts(texts: list[str], path: str, *, remember: int = 300_000) -> list[np.ndarray]:
+def at_spaces(joined: bytes, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about size bytes that end behind white space; joined ends with a space, a longer word stays whole."""
+    start = 0
+    while start < len(joined):
+        end = ANY_SPACE.search(joined, min(start + size, len(joined)) - 1).end()
+        yield start, end
+        start = end
+
+
+def encode_texts(texts: list[str], path: str, *, remember: int = 300_000, size: int = 1 << 18) -> list[np.ndarray]:
     """Ids of each text.
 
     The vocabulary lowers case, drops white space and parts a letter from the stop after it, so each different word is
-    encoded once and texts are put together from words, told apart by 64-bit hashes. remember bounds the words kept;
-    beyond it the memory starts anew. Texts that may hold a special token's name are encoded whole.
+    encoded once and texts are put together from words, told apart by 64-bit hashes. size bounds the bytes looked at
+    together, whether of many texts or of a part of one, remember the words kept; beyond it the memory starts anew.
+    Texts that may hold a special token's name are encoded whole.
     """
     model, ends_word, known = tokenizer(path)
     raw = [_FLAT[np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)].tobytes() if "<|" not in t else b"" for t in texts]
     joined = b" ".join(raw) + b" "
-    flat = np.frombuffer(joined, np.uint8)
-    inside = ~_SPACE[flat]
-    before, after = np.append(False, inside[:-1]), np.append(inside[1:], False)
-    cut = _STOP[flat] & np.append(False, _LETTER[flat[:-1]]) & ~after
-    starts = np.flatnonzero(inside & (~before | cut))
-    ends = np.flatnonzero(inside & (~after | np.append(cut[1:], False))) + 1
-    kinds, first, back = np.unique(hash_spans(flat, starts, ends), return_index=True, return_inverse=True)
-    if len(known) > remember:
-        known.clear()
-    new = [i for i, h in enumerate(kinds.tolist()) if h not in known]
-    if new:
-        a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
-        words = [joined[x:y].decode("utf-8", "surrogatepass") for x, y in zip(a, b, strict=True)]
-        known.update(zip(kinds[new].tolist(), encode_words(model, ends_word, words), strict=True))
-    stored = [known[h] for h in kinds.tolist()]
-    sizes = np.array([len(x) // 4 for x in stored], np.int64)
-    pool, offset = np.frombuffer(b"".join(stored), "<u4"), np.cumsum(sizes) - sizes
-    n = sizes[back]
-    done = np.cumsum(n)
-    ids = pool[np.repeat(offset[back] - (done - n), n) + np.arange(int(n.sum()))]
-    edges = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw])[:-1]) if len(raw) > 1 else np.zeros(0, np.int64)
-    out = np.split(ids, np.append(0, done)[edges])
-    return [np.array(model.encode(t, add_special_tokens=False).ids, "<u4") if "<|" in t else x for t, x in zip(texts, out, strict=True)]
+    edges = np.cumsum([len(r) + 1 for r in raw])[:-1] if raw else np.zeros(0, np.int64)
+    found, places, n_ids = [], [], 0
+    for low, high in at_spaces(joined, size):
+        flat = np.frombuffer(joined, np.uint8, high - low, low)
+        inside = ~_SPACE[flat]
+        before, after = np.append(False, inside[:-1]), np.append(inside[1:], False)
+        cut = _STOP[flat] & np.append(False, _LETTER[flat[:-1]]) & ~after
+        starts = np.flatnonzero(inside & (~before | cut))
+        ends = np.flatnonzero(inside & (~after | np.append(cut[1:], False))) + 1
+        kinds, first, back = np.unique(hash_spans(flat, starts, ends), return_index=True, return_inverse=True)
+        if len(known) > remember:
+            known.clear()
+        new = known.missing(kinds)
+        if len(new):
+            a, b = (starts[first[new]] + low).tolist(), (ends[first[new]] + low).tolist()
+            words = [joined[x:y].decode("utf-8", "surrogatepass") for x, y in zip(a, b, strict=True)]
+            known.add(kinds[new], encode_words(model, ends_word, words))
+        ids, done = known.ids(kinds, back)
+        here = edges[np.searchsorted(edges, low) : np.searchsorted(edges, high)] - low
+        places.append(n_ids + np.append(0, done)[np.searchsorted(starts, here)])
+        found.append(ids)
+        n_ids += len(ids)
+    out = np.split(np.concatenate(found), np.concatenate(places))
+    return [np.array(model.encode(t, add_special_tokens=False).ids, "<u4") if "<|" in t else x for t, x in zip(texts, out[: len(texts)], strict=True)]
 
 
 def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:

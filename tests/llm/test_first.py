@@ -172,6 +172,41 @@ def test_words_make_the_same_ids():
     assert [x.tolist() for x in packing.encode_texts(texts, TOKENIZER)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_long_texts_make_the_same_ids():
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(TOKENIZER)
+    rng = np.random.default_rng(1)
+    parts = ["The", "end.", "a,b", "É", "\ue000", "<", "漢字.", "x" * 70, "", "word,"]
+    texts = [" ".join(rng.choice(parts, n)) for n in (0, 1, 400, 3, 0, 90)] + ["y" * 300, "\n" * 300, "<|endoftext|> " * 20, ""]
+    for size in (1, 7, 64, 1000):
+        assert [x.tolist() for x in packing.encode_texts(texts, TOKENIZER, size=size)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.encode_texts([], TOKENIZER) == []
+
+
+@pytest.mark.parametrize("shape", ["many texts", "one text"])
+def test_memory_of_packing_follows_neither_batch_nor_text(spark, monkeypatch, shape):
+    """Traced by tracemalloc: 188 MB for many texts with arrays over two million characters and words in a dictionary."""
+    import tracemalloc
+
+    import pandas as pd
+
+    docs, caught = spark.createDataFrame([], "doc_id long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda self, work, schema: caught.append(work) or self)
+    packing.token_pieces(docs, TOKENIZER)
+    words = [f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in range(2000)]
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)] * 6
+    texts = texts if shape == "many texts" else [" ".join(texts)]
+    packing.tokenizer(TOKENIZER)
+    next(caught[0](iter([pd.DataFrame({"_id": [1], "_text": ["warm up"]})])))
+    tracemalloc.start()
+    rows = sum(len(out) for out in caught[0](iter([pd.DataFrame({"_id": range(len(texts)), "_text": texts})])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert rows >= len(texts) and sum(map(len, texts)) > 3_000_000
+    assert peak < 100
+
+
 def test_pack_empty(empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
 
