@@ -162,3 +162,14 @@ def test_one_key_holds_nearly_all_rows(spark):
     assert sorted(r.pos for r in I.positions(df, [], [F.desc("t")]).collect()) == list(range(600))
     none = df.where("false")
     assert [f.count() for f in (I.positions(none, ["k"], ["t"]), I.run_encode(none, ["k"], ["t"], "v"), I.next_value(none, "v", ["k"], ["t"], F.lit("end"), "o"))] == [0, 0, 0]
+
+
+def test_directions_of_large_part_keys(spark, duck, tmp_path):
+    """Part keys beyond 500,000 lose no direction and no frame."""
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_partkey", F.col("l_partkey") + 499_900)
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["record_directions"]).fetchall()
+    got = registry.queries()["record_directions"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and max(r.tiles // r.frames for r in got) > 500_000
