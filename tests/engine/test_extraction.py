@@ -246,3 +246,21 @@ def test_spans_agree_with_the_renderer():
     assert [(r["y"], r["x"], r["n"], r["value"], r["size"], r["clear"]) for r in rows if r["tile"] == 2] == [(0, 0, 1, 0, 2, 255), (0, 1, 1, 0xF800, 2, 255), (1, 0, 2, 5, 2, 255)]
     assert [(r["x"], r["value"], r["w"]) for r in rows if r["tile"] == 3] == [(0, 0x7C00, 2), (1, 0x1F, 2)]
     assert {r["tile"] for r in rows} == {0, 2, 3}
+
+
+def test_groups_over_many_batches(spark):
+    """Groups that lie in several batches stay whole, null keys count as equal, and rows come in order."""
+    rows = [(None if i % 7 == 0 else f"g{i % 3}", i % 2, 100 - i, bytes([i])) for i in range(100)]
+    df = spark.createDataFrame(rows, "g string, h int, n int, b binary")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = X.in_groups(df, ["g", "h"], ["n"], lambda g, h, n, b: (g[0], h[0], len(n), ",".join(map(str, n)), b"".join(b)), "g string, h int, n long, t string, b binary").collect()
+        none = X.in_groups(df.where("false"), ["g"], ["n"], lambda g, h, n, b: (g[0],), "g string").count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for g, h, n, b in sorted(rows, key=lambda r: r[2]):
+        want.setdefault((g, h), []).append((n, b))
+    assert {(r.g, r.h): (r.n, r.t, bytes(r.b)) for r in got} == {k: (len(v), ",".join(str(n) for n, _ in v), b"".join(b for _, b in v)) for k, v in want.items()}
+    assert len(got) == len(want) and none == 0
